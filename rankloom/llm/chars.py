@@ -46,6 +46,49 @@ def visible(t: str) -> str:
     return BLANKS.sub(" ", t).strip()
 
 
+_MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]+")
+
+
+def _bytes(run: str) -> bytes | None:
+    out = bytearray()
+    for c in run:
+        try:
+            out += c.encode("cp1252")
+        except UnicodeEncodeError:
+            if ord(c) > 255:
+                return None
+            out.append(ord(c))
+    return bytes(out)
+
+
+def undo_mojibake(t: str) -> str:
+    """UTF-8 that was read as a one-byte encoding becomes text again, run by run; runs that are no UTF-8 stay."""
+
+    def fix(m: re.Match) -> str:
+        raw = _bytes(m[0])
+        if raw is None:
+            return m[0]
+        try:
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return m[0]
+
+    if t.isascii() or not _MOJIBAKE.search(t):
+        return t
+    for _ in range(2):
+        u = re.sub("[\u0080-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]{2,}", fix, t)
+        if u == t:
+            break
+        t = u
+    return t
+
+
+def visible_lines(t: str) -> str:
+    """``visible`` line by line, with look-alikes as Latin where the text is Latin."""
+    t = "\n".join(visible(x) for x in re.split(r"\r\n|[\r\n\u0085\u2028\u2029]", t))
+    return t.translate(TO_LATIN) if FOREIGN.search(t) and dominant(t) == "LATIN" else t
+
+
 def script(c: str) -> str:
     if c.isascii():
         return "LATIN" if c.isalpha() else ""

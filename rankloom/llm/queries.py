@@ -40,3 +40,26 @@ def p6_ids(spark, d):
     from rankloom.llm import tokens
 
     return tokens.encode_column(table(spark, d, "documents"))
+
+
+@query
+def p4_found(spark, d):
+    from rankloom.llm import chunks
+
+    return chunks.cut_sections(table(spark, d, "paper"))
+
+
+@query
+def p4_pieces(spark, d):
+    """(paper_id, piece_no, text) of every paper longer than 3,000 code points; a repeated paper is cut once, its longest content."""
+    from rankloom.llm import chunks
+
+    p = table(spark, d, "paper").filter(F.length("content") > 3000).groupBy("paper_id").agg(F.max(F.struct(F.length("content").alias("n"), F.col("content"))).alias("m"))
+    return chunks.split_texts(p.select("paper_id", F.col("m.content").alias("content")), ["paper_id"], "content").select("paper_id", "piece_no", "text")
+
+
+@query
+def p8_found(spark, d):
+    from rankloom.llm import spam
+
+    return spam.find_spam(table(spark, d, "documents")).select("doc_id")
