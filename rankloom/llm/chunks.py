@@ -22,7 +22,7 @@ _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)(?:[ \t]*(?:\r\n|\r|\n))+")
 _SENTENCE = re.compile(r"\r\n|\r|\n|[.!?][\"'”’)\]]*[ \t]+|[。！？]")
-_WORD = re.compile(r"[ \t  - 　]+")
+_WORD = re.compile(r"[ \t\u00a0\u2002-\u200a\u3000]+")
 #: Level of a boundary, and the share of the limit that a piece must reach to be cut there rather than at a lower one.
 SECTION, PARAGRAPH, SENTENCE, WORD, HARD = 4, 3, 2, 1, 0
 FILL = {SECTION: 0.5, PARAGRAPH: 0.5, SENTENCE: 0.25, WORD: 0.1, HARD: 0.0}
@@ -49,7 +49,7 @@ def section_starts(text: str) -> list[int]:
 def _is_joint(text: str, at: int) -> bool:
     """Whether a cut here would part a line end or a letter from its marks."""
     c = text[at]
-    return (c == "\n" and text[at - 1] == "\r") or "̀" <= c <= "ͯ" or c in "‍️" or text[at - 1] == "‍"
+    return (c == "\n" and text[at - 1] == "\r") or "\u0300" <= c <= "\u036f" or c in "\u200d\ufe0f" or text[at - 1] == "\u200d"
 
 
 def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,3 +63,10 @@ def p8_found(spark, d):
     from rankloom.llm import spam
 
     return spam.find_spam(table(spark, d, "documents")).select("doc_id")
+
+
+@query
+def p5_found(spark, d):
+    from rankloom.llm import names
+
+    return names.link_authors(table(spark, d, "arxiv_paper"), table(spark, d, "corpus_entry"), table(spark, d, "author_ref"))
