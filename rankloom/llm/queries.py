@@ -70,3 +70,10 @@ def p5_found(spark, d):
     from rankloom.llm import names
 
     return names.link_authors(table(spark, d, "arxiv_paper"), table(spark, d, "corpus_entry"), table(spark, d, "author_ref"))
+
+
+@query
+def p7_found(spark, d):
+    from rankloom.llm import leaks
+
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
