@@ -77,3 +77,20 @@ def p7_found(spark, d):
     from rankloom.llm import leaks
 
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
+
+
+def _works(spark, d):
+    from rankloom.llm import works
+
+    return works.match_works(table(spark, d, "accepted_paper"), table(spark, d, "corpus_entry"), table(spark, d, "match_result"))
+
+
+@query
+def p1_found(spark, d):
+    return _works(spark, d).filter("confidence > 0.5").select("paper_key", "arxiv_id")
+
+
+@query
+def p1_confidence(spark, d):
+    """Every candidate pair with its posterior."""
+    return _works(spark, d).select("paper_key", "arxiv_id", F.round("confidence", 6).alias("confidence"))
