@@ -94,3 +94,18 @@ def p1_found(spark, d):
 def p1_confidence(spark, d):
     """Every candidate pair with its posterior."""
     return _works(spark, d).select("paper_key", "arxiv_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def p3_groups(spark, d):
+    """(parent_asin, group_id) of every listing."""
+    from rankloom.llm import listings
+
+    return listings.group_listings(table(spark, d, "item_meta"))
+
+
+@query
+def p3_found(spark, d):
+    from rankloom.llm import listings
+
+    return listings.same_pairs(listings.group_listings(table(spark, d, "item_meta")))
