@@ -14,15 +14,15 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import chars as C
-from rankloom.llm import linkage as L
 from rankloom.llm import names as N
 from rankloom.session import cut
 
@@ -126,6 +126,21 @@ def _fold(w: str) -> str:
     return C.fold(w).replace("-", "")
 
 
+@lru_cache(maxsize=100_000)
+def _is_common(word: str) -> bool:
+    """Whether a word is of advertising, a colour or a material, one typing error allowed."""
+    return word in MARKETING or word in COLOURS or word in MATERIALS or any(abs(len(m) - len(word)) <= 1 and len(m) >= 6 and N.osa(word, m, 1) <= 1 for m in MARKETING)
+
+
+@lru_cache(maxsize=10_000)
+def _phrase_pattern(phrases: tuple[str, ...]) -> re.Pattern | None:
+    gone = sorted({p for p in phrases if p}, key=lambda p: (-len(p), p))
+    return re.compile("(?i)" + "|".join(r"\b" + re.escape(p).replace(r"\ ", r"[\s-]+").replace(" ", r"[\s-]+") + r"\b" for p in gone)) if gone else None
+
+
+_NO_CLAIM = re.compile(r"(?i)tested in|backed by|within \d+ days|has refined|was developed|on screen may differ|series holds up|inspected before")
+
+
 def parse(title: str | None, store: str | None, features, description, details: str | None, phrases) -> dict:
     """Fields of one listing; what isn't stated is None. ``phrases`` are the type phrases found in it."""
     title, store = _clean(title), _clean(store)
@@ -155,10 +170,9 @@ def parse(title: str | None, store: str | None, features, description, details:
             lines[_fold(m[1])] += 2
     out: dict = {}
     rest_of_title = title
-    gone = sorted({p for p in (phrases if phrases is not None else []) if p}, key=len, reverse=True)
-    pat = re.compile("(?i)" + "|".join(r"\b" + re.escape(p).replace(r"\ ", r"[\s-]+").replace(" ", r"[\s-]+") + r"\b" for p in gone)) if gone else None
+    pat = _phrase_pattern(tuple(sorted(phrases)) if phrases is not None else ())
     for k, t in enumerate([title, *feats, *descs]):
-        if k and re.search(r"(?i)tested in|backed by|within \d+ days|has refined|was developed|on screen may differ|series holds up|inspected before", t):
+        if k and _NO_CLAIM.search(t):
             continue
         t = pat.sub(" | ", t) if pat else t
         if k == 0:
@@ -178,7 +192,7 @@ def parse(title: str | None, store: str | None, features, description, details:
     names = []
     for w in _WORD.findall(re.sub(r"\([^)]*\)|\d+%?", " ", rest_of_title)):
         low = _fold(w)
-        if len(low) >= 7 and low not in MARKETING and low not in COLOURS and low not in MATERIALS and not any(abs(len(m) - len(low)) <= 1 and len(m) >= 6 and N.osa(low, m, 1) <= 1 for m in MARKETING):
+        if len(low) >= 7 and not _is_common(low):
             names.append(low)
     known_b = brands.most_common(1)[0][0] if brands else None
     known_l = lines.most_common(1)[0][0] if lines else None
@@ -280,27 +294,66 @@ def settle_names(p: DataFrame) -> DataFrame:
     return named.unionByName(no_line.join(only, ["type", "brand"]).select("parent_asin", "type", "brand", F.col("line_").alias("line"), *ATTRIBUTES))
 
 
-def _levels(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Per pair and field: 2 agree, 1 one of them is silent, 0 disagree."""
-    out = np.ones((len(a), len(FIELDS)), dtype=np.int8)
-    for k, f in enumerate(FIELDS):
-        x, y = a[f].to_numpy(), b[f].to_numpy()
-        both = pd.notna(x) & pd.notna(y)
-        if f in NUMBERS:
-            x, y = x.astype(float), y.astype(float)
-            with np.errstate(invalid="ignore"):
-                same = np.abs(x - y) <= (ROUNDING * np.maximum(x, y) if f not in ("pieces", "extent") else 1e-9)
-        else:
-            same = x == y
-        out[both, k] = np.where(same[both], 2, 0)
-    return out
+STRINGS = [f for f in FIELDS if f not in NUMBERS]
+_ORDER = [*STRINGS, *NUMBERS]
+_EXACT = [k for k, f in enumerate(NUMBERS) if f in ("pieces", "extent")]
+
+
+def _arrays(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Text fields as codes (-1 for null) and number fields as they are."""
+    codes = np.stack([pd.factorize(g[f])[0] for f in STRINGS], 1) if len(g) else np.zeros((0, len(STRINGS)), int)
+    return codes, g[list(NUMBERS)].to_numpy(dtype=float)
 
 
-_A, _B = [f"a_{f}" for f in FIELDS], [f"b_{f}" for f in FIELDS]
+def _levels(codes: np.ndarray, numbers: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Per pair and field (text fields first): 2 agree, 1 one of them is silent, 0 disagree."""
+    x, y = codes[i], codes[j]
+    text = np.where((x < 0) | (y < 0), 1, np.where(x == y, 2, 0))
+    x, y = numbers[i], numbers[j]
+    room = ROUNDING * np.maximum(x, y)
+    room[:, _EXACT] = 1e-9
+    with np.errstate(invalid="ignore"):
+        num = np.where(np.isnan(x) | np.isnan(y), 1, np.where(np.abs(x - y) <= room, 2, 0))
+    return np.concatenate([text, num], 1)
 
 
-def _pair_levels(b: pd.DataFrame) -> np.ndarray:
-    return _levels(b[_A].set_axis(FIELDS, axis=1), b[_B].set_axis(FIELDS, axis=1))
+def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, first row, size) of the complete runs of equal keys in sorted batches; a run may straddle batches."""
+    held: pd.DataFrame | None = None
+
+    def cut_up(b: pd.DataFrame) -> np.ndarray:
+        same = np.ones(len(b) - 1, dtype=bool)
+        for k in keys:
+            v = b[k].to_numpy()
+            same &= v[1:] == v[:-1]
+        return np.concatenate([[0], np.flatnonzero(~same) + 1, [len(b)]])
+
+    for b in batches:
+        if not len(b):
+            continue
+        b = b.reset_index(drop=True) if held is None else pd.concat([held, b], ignore_index=True)
+        at = cut_up(b)
+        if len(at) > 2:
+            yield b.iloc[: at[-2]], at[:-2], np.diff(at[:-1])
+        held = b.iloc[at[-2] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.array([0]), np.array([len(held)])
+
+
+def _pairs(first: np.ndarray, size: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs within runs, in pieces of at most about ``most`` pairs; a run's pairs come in one piece unless it has more."""
+    for k in np.unique(size[size > 1]):
+        own = first[size == k]
+        i, j = np.triu_indices(int(k), 1)
+        if len(i) > most:
+            for f in own:
+                for lo in range(0, len(i), most):
+                    yield f + i[lo : lo + most], f + j[lo : lo + most]
+        else:
+            step = max(1, most // len(i))
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step, None]
+                yield (part + i).ravel(), (part + j).ravel()
 
 
 def weights(model: dict) -> np.ndarray:
@@ -311,29 +364,33 @@ def weights(model: dict) -> np.ndarray:
 
 
 def posterior(levels: np.ndarray, model: dict) -> np.ndarray:
-    lo = np.log(model["share"]) - np.log1p(-model["share"]) + weights(model)[np.arange(len(FIELDS)), levels].sum(1)
+    lo = np.log(model["share"]) - np.log1p(-model["share"]) + weights(model)[np.arange(len(_ORDER)), levels].sum(1)
     return 1 / (1 + np.exp(-np.clip(lo, -50, 50)))
 
 
-def fit_weights(pairs: DataFrame, rounds: int = 10) -> dict:
-    """Shares of the three levels among matches and others, field by field, by expectation-maximisation over all pairs."""
-    n_f = len(FIELDS)
-    m = np.tile([0.05, 1.0, 0.95], (n_f, 1))
-    u = np.tile([0.6, 1.0, 0.4], (n_f, 1))
-    model = {"share": 0.5, "m": m, "u": u}
+def fit_weights(profiles_by_line: DataFrame, rounds: int = 10) -> dict:
+    """Shares of agreement among matches and others, field by field, by expectation-maximisation over all pairs of a block.
+
+    The blocks (type and line) stand together in sorted partitions; their pairs are compared in place and never shuffled.
+    """
+    n_f = len(_ORDER)
+    model = {"share": 0.5, "m": np.tile([0.05, 1.0, 0.95], (n_f, 1)), "u": np.tile([0.6, 1.0, 0.4], (n_f, 1))}
     for _ in range(rounds):
 
-        def stats(b: pd.DataFrame, model=model) -> np.ndarray:
-            lv = _pair_levels(b)
-            r = posterior(lv, model)
-            out = [len(b), r.sum()]
-            for w in (r, 1 - r):
-                for lev in (0, 1, 2):
-                    out += list(w @ (lv == lev))
-            return np.array(out)
-
-        s = L.partial_sums(pairs, stats, 2 + 6 * n_f)
-        if s[0] < 10 or s[1] < 1 or s[0] - s[1] < 1:
+        def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            total = np.zeros(2 + 6 * n_f)
+            for g, first, size in _blocks(batches, ["type", "line"]):
+                codes, numbers = _arrays(g)
+                for i, j in _pairs(first, size):
+                    lv = _levels(codes, numbers, i, j)
+                    r = posterior(lv, model)
+                    total[:2] += len(lv), r.sum()
+                    total[2:] += np.concatenate([w @ (lv == lev) for w in (r, 1 - r) for lev in (0, 1, 2)])
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+        got = profiles_by_line.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
+        s = got["v"].to_numpy()
+        if len(s) == 0 or s[0] < 10 or s[1] < 1 or s[0] - s[1] < 1:
             return model
         t = s[2:].reshape(2, 3, n_f)
         new = {"share": float(np.clip(s[1] / s[0], 1e-4, 1 - 1e-4))}
@@ -348,68 +405,57 @@ def fit_weights(pairs: DataFrame, rounds: int = 10) -> dict:
     return model
 
 
-def _merge(group: pd.DataFrame, model: dict) -> np.ndarray:
-    """Cluster number per row of one name group: strongest links first, never against a stated attribute of the other side."""
-    n = len(group)
-    label = np.arange(n)
-    if n == 1:
+def cluster_blocks(g: pd.DataFrame, first: np.ndarray, size: np.ndarray, model: dict) -> np.ndarray:
+    """Cluster number per profile: strongest links of a block first, never against a stated attribute of any member of the other side."""
+    codes, numbers = _arrays(g)
+    copies = g["copies"].to_numpy()
+    label = np.arange(len(g))
+    base, w = np.log(model["share"]) - np.log1p(-model["share"]), weights(model)
+    links, clashes = [], []
+    for i, j in _pairs(first, size):
+        lv = _levels(codes, numbers, i, j)
+        bad = (lv == 0).any(1)
+        score = base + w[np.arange(len(_ORDER)), lv].sum(1)
+        ok = ~bad & (score > np.log(LINK / (1 - LINK)))
+        links.append(np.stack([score, (lv == 2).sum(1), copies[i] + copies[j], i, j], 1)[ok])
+        clashes.append(np.stack([i, j], 1)[bad])
+    if not links:
         return label
-    weight = weights(model)
-    base = np.log(model["share"]) - np.log1p(-model["share"])
-    i, j = np.triu_indices(n, 1)
-    lv = _levels(group.iloc[i], group.iloc[j])
-    at = [FIELDS.index(f) for f in ATTRIBUTES]
-    k = np.arange(len(FIELDS))
-    score = base + weight[k, lv].sum(1)
-    ok = ~(lv[:, at] == 0).any(1) & (score > np.log(LINK / (1 - LINK)))
-    agree = (lv[:, at] == 2).sum(1)
-    size = group["copies"].to_numpy()
-    order = np.lexsort((j, i, -(size[i] + size[j]), -agree, -score))
-    order = order[ok[order]]
-    values = {c: group.iloc[[c]].reset_index(drop=True) for c in range(n)}
-    for e in order:
-        a, b = label[i[e]], label[j[e]]
-        if a == b:
-            continue
-        va, vb = values[a], values[b]
-        cross = _levels(va.iloc[np.repeat(np.arange(len(va)), len(vb))], vb.iloc[np.tile(np.arange(len(vb)), len(va))])
-        if (cross[:, at] == 0).any():
+    edges, clash = np.concatenate(links), np.concatenate(clashes)
+    apart = set((clash[:, 0] * len(g) + clash[:, 1]).tolist())  # first row number is the smaller one
+    members = {c: [c] for c in range(len(g))}
+    for e in np.lexsort((edges[:, 4], edges[:, 3], -edges[:, 2], -edges[:, 1], -edges[:, 0])):
+        a, b = label[int(edges[e, 3])], label[int(edges[e, 4])]
+        if a == b or any((min(x, y) * len(g) + max(x, y)) in apart for x in members[a] for y in members[b]):
             continue
-        label[label == b] = a
-        both = pd.concat([va, vb], ignore_index=True)
-        values[a] = both.drop_duplicates(subset=ATTRIBUTES, ignore_index=True)
+        members[a] += members.pop(b)
+        label[members[a]] = a
     return label
 
 
 def group_listings(items: DataFrame) -> DataFrame:
     """(parent_asin, group_id): listings of one product share a group; a listing without a twin is alone in its own.
 
-    Nulls and empty arrays state nothing; listings without a line or type in title and texts stay alone. Copies with the same
-    parsed profile are compared once. Repeated rows of one ``parent_asin`` count as one listing.
+    Nulls and empty arrays state nothing; listings without a type, or with neither line nor brand, stay alone. Copies with
+    the same parsed profile are compared once, so a block holds as many rows as a line has differently stated versions. Repeated
+    rows of one ``parent_asin`` count as one listing.
     """
-    p = cut(settle_names(profiles(items)))
+    p = settle_names(cut(profiles(items)))  # read three times
     spelled = F.concat_ws("\u0001", *[F.coalesce(F.col(f).cast("string"), F.lit("\u0002")) for f in ("type", *FIELDS)])
-    p = p.withColumn("profile", F.xxhash64(spelled))
-    prof = cut(p.groupBy("profile", "type", *FIELDS).agg(F.count(F.lit(1)).cast("bigint").alias("copies"), F.min("parent_asin").alias("rep")))
-    # blocks: type and line, and type and brand with one more stated value
-    side = lambda c: [F.col(f).alias(f"{c}_{f}") for f in FIELDS]
-    a = prof.select("type", F.col("line").alias("_l"), F.col("rep").alias("ra"), *side("a"))
-    b = prof.select("type", F.col("line").alias("_l"), F.col("rep").alias("rb"), *side("b"))
-    pairs = cut(a.join(b, ["type", "_l"]).filter("ra < rb").select(*_A, *_B))
-    model = fit_weights(pairs)
-    out_schema = "rep string, group_id string"
-
-    def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rep", ignore_index=True)
-        lab = _merge(g, model)
-        first = {k: g["rep"].iloc[np.flatnonzero(lab == k)[0]] for k in set(lab)}
-        return pd.DataFrame({"rep": g["rep"], "group_id": [first[k] for k in lab]})
-
-    named = prof.withColumn("brand_", F.coalesce("brand", F.lit("")))
-    groups = named.groupBy("type", "brand_", "line").applyInPandas(lambda g: cluster(g), out_schema)
-    reps = prof.select("profile", "rep")
-    placed = p.select("parent_asin", "profile").join(reps, "profile").join(groups, "rep").select("parent_asin", "group_id")
-    rest = items.select("parent_asin").filter("parent_asin is not null").distinct().join(placed, "parent_asin", "left_anti")
+    p = cut(p.withColumn("profile", F.xxhash64(spelled)))
+    prof = p.groupBy("profile", "type", *FIELDS).agg(F.count(F.lit(1)).cast("bigint").alias("copies"), F.min("parent_asin").alias("rep"))
+    n = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), items.sparkSession.sparkContext.defaultParallelism)
+    prof = cut(prof.repartition(n, "type", "line").sortWithinPartitions("type", "line", "rep"))
+    model = fit_weights(prof)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g, first, size in _blocks(batches, ["type", "line"]):
+            rep = g["rep"].to_numpy()
+            yield pd.DataFrame({"profile": g["profile"].to_numpy(), "group_id": rep[cluster_blocks(g, first, size, model)]})
+
+    groups = prof.mapInPandas(run, "profile bigint, group_id string")
+    placed = p.select("parent_asin", "profile").join(groups, "profile").select("parent_asin", "group_id")
+    rest = items.select("parent_asin").filter("parent_asin is not null").distinct().join(p.select("parent_asin"), "parent_asin", "left_anti")
     return placed.unionByName(rest.select("parent_asin", F.col("parent_asin").alias("group_id")))
 
 
