@@ -72,8 +72,10 @@ def harvest_new(page: DataFrame, known: DataFrame, key: str, order: list[str]) -
 
 def month_windows(spark: SparkSession, start: datetime.date, end: datetime.date) -> DataFrame:
     """(window_start, window_end) of every calendar month of the range, clamped to it; no rows if it is empty."""
+    if end < start:
+        return spark.createDataFrame([], "window_start date, window_end date")
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    months = spark.range(1).filter(s <= e).select(F.explode(F.sequence(F.trunc(s, "month"), e, F.expr("interval 1 month"))).alias("m"))
+    months = spark.range(1).select(F.explode(F.sequence(F.trunc(s, "month"), e, F.expr("interval 1 month"))).alias("m"))
     return months.select(F.greatest("m", s).alias("window_start"), F.least(F.last_day("m"), e).alias("window_end"))
 
 
