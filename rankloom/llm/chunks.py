@@ -76,10 +76,12 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
 
 def greedy_cuts(texts: list[str], limit: int, overlap: int) -> list[list[tuple[int, int]]]:
     """Per text the (start, end) offsets of its pieces. A text within the limit is one piece, an empty one none."""
+    if not texts:
+        return []
     parts = [boundaries(t, limit, overlap) if len(t) > limit else (np.array([0, len(t)]), np.array([SECTION, SECTION], dtype=np.int8)) for t in texts]
     base = np.cumsum([0, *(len(t) + 2 * limit for t in texts)])  # windows never reach into the next text
-    pos = np.concatenate([p + b for (p, _), b in zip(parts, base, strict=False)]) if parts else np.zeros(0, np.int64)
-    lv = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int8)
+    pos = np.concatenate([p + b for (p, _), b in zip(parts, base, strict=False)])
+    lv = np.concatenate([x for _, x in parts])
     sizes = np.array([len(p) for p, _ in parts])
     last = np.repeat(np.cumsum(sizes) - 1, sizes)
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
