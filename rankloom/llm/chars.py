@@ -32,9 +32,12 @@ TOKEN = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
 FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0261]")
 
 
+_WIDE = re.compile("[\uff01-\uffee\ufb00-\ufb06]+")
+
+
 def _width(t: str) -> str:
     """Full- and half-width forms and the Latin ligatures in their plain letters; other compatibility forms look different and stay."""
-    return "".join(unicodedata.normalize("NFKC", c) if "\uff01" <= c <= "\uffee" or "\ufb00" <= c <= "\ufb06" else c for c in t)
+    return _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), t)
 
 
 def visible(t: str) -> str:

@@ -47,10 +47,19 @@ _PRICE = re.compile(r"\d[\d.,]*\s?(?:USD|EUR|GBP|\$|€|£)|[$€£]\s?\d")
 _CODE = re.compile(r"(?ms)^(?:```|~~~).*?^(?:```|~~~)\s*$")
 
 
-def _language(words: list[str]) -> str:
-    n = {k: sum(w in v for w in words) for k, v in WORDS_OF.items()}
-    best = max(n, key=lambda k: n[k])
-    return best if n[best] else ""
+_LANGS = list(WORDS_OF)
+_OWNERS = {w: [k for k, v in enumerate(WORDS_OF.values()) if w in v] for w in ANY_FUNCTION}
+
+
+def _function_words(words: list[str]) -> tuple[str, int]:
+    """Language with most function words among these, and their number; no language without any."""
+    n = [0] * len(_LANGS)
+    for w in words:
+        if w in _OWNERS:
+            for k in _OWNERS[w]:
+                n[k] += 1
+    most = max(n)
+    return (_LANGS[n.index(most)], most) if most else ("", 0)
 
 
 def pieces(text: str) -> list[str]:
@@ -87,11 +96,11 @@ def clean(text: str) -> str:
 
 def features(text: str) -> dict | None:
     """Language and share of function words, for calibration; None for a text without words."""
-    words = [w.lower() for w in _WORD.findall(clean(text))]
+    words = _WORD.findall(clean(text).lower())
     if len(words) < 20:
         return None
-    lang = _language(words)
-    return {"lang": lang, "share": sum(w in WORDS_OF[lang] for w in words) / len(words)} if lang else None
+    lang, n = _function_words(words)
+    return {"lang": lang, "share": n / len(words)} if lang else None
 
 
 def spam_share(text: str, medians: dict[str, float]) -> tuple[float, float]:
@@ -99,12 +108,12 @@ def spam_share(text: str, medians: dict[str, float]) -> tuple[float, float]:
     text = clean(text)
     text = _CODE.sub("\n", text)
     parts = pieces(text)
-    all_words = [w.lower() for w in _WORD.findall(_URL.sub(" ", text))]
-    phrases = _phrases(all_words)
+    words_of = [_WORD.findall((_URL.sub(" ", p) if "http" in p or "www." in p else p).lower()) for p in parts]
+    phrases = _phrases([w for ws in words_of for w in ws])
     lines = Counter(parts)
     total = bad = 0
     short_run: list[int] = []
-    for p in parts:
+    for p, words in zip(parts, words_of, strict=True):
         size = len(p)
         total += size
         head = p.startswith("#") and p[: len(p) - len(p.lstrip("#"))] + " " == p[: len(p) - len(p.lstrip("#")) + 1]
@@ -114,12 +123,15 @@ def spam_share(text: str, medians: dict[str, float]) -> tuple[float, float]:
         if p.startswith("|") and p.endswith("|") and p.count("|") >= 3 and " · " not in p:
             total -= size  # a row of a table
             continue
-        links = sum(len(m[0]) for m in _LINK.finditer(p))
-        rest = _LINK.sub(" ", p)
-        links += sum(len(m[0]) for m in _URL.finditer(rest))
-        rest = _URL.sub(" ", rest)
-        words = [w.lower() for w in _WORD.findall(rest)]
-        cjk = len(_CJK.findall(rest))
+        links, rest = 0, p
+        if "](" in p or "<a" in p:
+            links = sum(len(m[0]) for m in _LINK.finditer(p))
+            rest = _LINK.sub(" ", p)
+            words = _WORD.findall(_URL.sub(" ", rest).lower())
+        if "http" in rest or "www." in rest:
+            links += sum(len(m[0]) for m in _URL.finditer(rest))
+            rest = _URL.sub(" ", rest)
+        cjk = 0 if rest.isascii() else len(_CJK.findall(rest))
         is_bad = False
         if links >= LINKED * size:
             is_bad = True
@@ -127,8 +139,8 @@ def spam_share(text: str, medians: dict[str, float]) -> tuple[float, float]:
             seps = len(re.findall(r"[,，、;；|/\s]", rest))
             is_bad = seps * 8 > cjk and not _END.search(p) or (not _END.search(p) and lines[p] > 2)
         elif words:
-            lang = _language(words) or "en"
-            fw = sum(w in WORDS_OF[lang] for w in words) / len(words)
+            lang, n = _function_words(words)
+            lang, fw = lang or "en", n / len(words)
             low = LOW * medians.get(lang, DEFAULT_MEDIAN.get(lang, 0.3))
             seps = len(_SEP.findall(rest)) / len(words)
             closed = bool(_END.search(p))
