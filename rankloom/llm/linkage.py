@@ -17,6 +17,15 @@ def without_one(words: Column) -> Column:
     return F.array_distinct(F.when(n > 1, less).otherwise(F.array(F.xxhash64(F.concat_ws(" ", words)))))
 
 
+def deletions(word: Column, most: int) -> Column:
+    """A word as it is and with up to ``most`` letters left out: two words within that edit distance (an exchange of neighbours counts two) share one."""
+    less = lambda w: F.transform(F.sequence(F.lit(0), F.length(w)), lambda i: F.concat(F.substring(w, 1, i), F.substring(w, i + 2, F.length(w))))
+    out = F.array(word)
+    for _ in range(most):
+        out = F.array_distinct(F.flatten(F.transform(out, less)))
+    return out
+
+
 def rare_prefix(df: DataFrame, keys: list[str], words: str, freq: DataFrame, jaccard: float, shared: int = 2) -> DataFrame:
     """Adds ``rare``: of n words the n - ceil(jaccard * n) + ``shared`` rarest, in rarity order. Two arrays that reach the Jaccard share at least ``shared`` of them (or all, if they have fewer)."""
     each = df.select(*keys, F.size(words).alias("_n"), F.explode(words).alias("word")).join(freq, "word")

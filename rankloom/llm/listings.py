@@ -24,10 +24,13 @@ from pyspark.sql import types as T
 
 from rankloom.llm import chars as C
 from rankloom.llm import names as N
+from rankloom.llm.linkage import deletions
 from rankloom.session import cut
 
 #: Relative difference of one quantity given in two units.
 ROUNDING = 0.035
+#: Edit distance within which two spellings are of one name; an exchange of neighbours counts two.
+SPELLING = 2
 #: Posterior from which a pair is a link.
 LINK = 0.5
 
@@ -276,10 +279,11 @@ def settle_names(p: DataFrame) -> DataFrame:
     no_line = p.filter("line is null and type is not null and brand is not null")
     p = p.filter("line is not null and type is not null")
     trip = p.groupBy("type", "brand", "line").agg(F.count(F.lit(1)).alias("n"))
-    piece = lambda df: df.withColumn("piece", F.explode(F.array(F.concat(F.lit("<"), F.substring("line", 1, 5)), F.concat(F.substring("line", -5, 5), F.lit(">")))))
-    a = piece(trip)
-    b = piece(trip.filter("brand is not null")).select("type", "piece", F.col("brand").alias("b2"), F.col("line").alias("l2"), F.col("n").alias("n2"))
-    near = a.join(b, ["type", "piece"]).filter((F.levenshtein("line", "l2", 2) >= 0) & (F.col("brand").isNull() | (F.levenshtein("brand", "b2", 2) >= 0)))
+    # lines within the edit bound share a deletion variant; each distinct line is compared once, whatever its types and brands
+    keyed = cut(trip.select("line").distinct().withColumn("key", F.explode(deletions(F.col("line"), SPELLING))))
+    close = keyed.join(keyed.select("key", F.col("line").alias("l2")), "key").select("line", "l2").distinct().filter(F.levenshtein("line", "l2", SPELLING) >= 0)
+    b = trip.filter("brand is not null").select("type", F.col("brand").alias("b2"), F.col("line").alias("l2"), F.col("n").alias("n2"))
+    near = trip.join(close, "line").join(b, ["type", "l2"]).filter(F.col("brand").isNull() | (F.levenshtein("brand", "b2", SPELLING) >= 0))
     near = near.select("type", "brand", "line", "n", "b2", "l2", "n2").distinct()
     stated = near.filter("brand is not null").groupBy("type", "brand", "line").agg(F.max(F.struct("n2", "b2", "l2")).alias("m")).select("type", F.col("brand"), "line", F.col("m.b2").alias("to_b"), F.col("m.l2").alias("to_l"))
     # spellings of one brand count as one before the uniqueness is judged

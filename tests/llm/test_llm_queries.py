@@ -97,6 +97,20 @@ def test_listings(spark):
     assert listings.same_pairs(listings.group_listings(spark.createDataFrame([], LISTING))).count() == 0
 
 
+def test_lines_with_a_typing_error_anywhere(spark):
+    """Every single error, also one in the middle of the line, leads to the common spelling."""
+    goods, p = ("griynneto", "lorelloxin"), [("o", "flash cards", "dunksilora", "fenayabachs")]
+    for good in goods:
+        n = len(good)
+        bad = {good[:i] + "q" + good[i + 1 :] for i in range(n)} | {good[:i] + good[i + 1] + good[i] + good[i + 2 :] for i in range(n - 1)} | {good[:i] + good[i + 1 :] for i in range(n)} | {good[:i] + "q" + good[i:] for i in range(n + 1)}
+        p += [(f"{good}{i}", "flash cards", "dunksilora", good) for i in range(3)] + [(f"{good} {w}", "flash cards", "dunksilora", w) for w in sorted(bad - {good})]
+    fields = ", ".join(f"{f} {'double' if f in listings.NUMBERS else 'string'}" for f in listings.FIELDS)
+    rows = [(*x, *[None] * len(listings.ATTRIBUTES)) for x in p]
+    got = {r.parent_asin: r.line for r in listings.settle_names(spark.createDataFrame(rows, f"parent_asin string, type string, {fields}")).collect()}
+    assert len(got) == len(p) and got.pop("o") == "fenayabachs"
+    assert {(a, x) for a, x in got.items() if not a.startswith(x)} == set()
+
+
 def test_works(spark):
     rng = random.Random(6)
     words = ["graph", "sparse", "ranking", "deep", "session", "bandit", "causal", "fair", "music", "travel", "query", "cold", "budget", "offline", "privacy", "neural"]
