@@ -26,6 +26,18 @@ def deletions(word: Column, most: int) -> Column:
     return out
 
 
+def one_edit(word: Column, letters: str) -> Column:
+    """All strings one error away from a word (a letter of ``letters`` changed or added, a letter dropped, neighbours exchanged) and the word itself."""
+    n = F.length(word)
+    left, right = lambda i: F.substring(word, 1, i), lambda i: F.substring(word, i + 1, n)
+    drop = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(left(i), right(i + 1)))
+    swap = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(left(i), F.substring(word, i + 2, 1), F.substring(word, i + 1, 1), right(i + 2)))
+    every = F.array(*[F.lit(c) for c in letters])
+    more = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(every, lambda c: F.concat(left(i), c, right(i)))))
+    other = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(every, lambda c: F.concat(left(i), c, right(i + 1)))))
+    return F.array_distinct(F.concat(drop, swap, more, other))
+
+
 def rare_prefix(df: DataFrame, keys: list[str], words: str, freq: DataFrame, jaccard: float, shared: int = 2) -> DataFrame:
     """Adds ``rare``: of n words the n - ceil(jaccard * n) + ``shared`` rarest, in rarity order. Two arrays that reach the Jaccard share at least ``shared`` of them (or all, if they have fewer)."""
     each = df.select(*keys, F.size(words).alias("_n"), F.explode(words).alias("word")).join(freq, "word")

@@ -24,13 +24,15 @@ from pyspark.sql import types as T
 
 from rankloom.llm import chars as C
 from rankloom.llm import names as N
-from rankloom.llm.linkage import deletions
+from rankloom.llm.linkage import deletions, one_edit
 from rankloom.session import cut
 
 #: Relative difference of one quantity given in two units.
 ROUNDING = 0.035
 #: Edit distance within which two spellings are of one name; an exchange of neighbours counts two.
 SPELLING = 2
+#: Letters from which a type phrase can be told with one typing error.
+TELLING = 5
 #: Posterior from which a pair is a link.
 LINK = 0.5
 
@@ -71,6 +73,7 @@ TYPE_PHRASES = [r"(?i)^every (.{3,60}?) is inspected", r"(?i)has refined this (.
 FIELDS = ["brand", "line", "model", "colour", "material", "scent", "length", "weight", "volume", "power", "capacity", "extent", "pieces"]
 ATTRIBUTES = FIELDS[2:]
 NUMBERS = ("length", "weight", "volume", "power", "capacity", "extent", "pieces")
+EXACT = ("pieces", "extent")
 
 
 def _clean(t: str | None) -> str:
@@ -266,6 +269,9 @@ def profiles(items: DataFrame) -> DataFrame:
     key = types.select(F.trim(F.regexp_replace("phrase", "[^a-z]+", " ")).alias("g"), "phrase", "type")
     raw = types.select(F.col("phrase").alias("g"), "phrase", "type")
     found = g.withColumn("p", F.lit(3)).join(key, "g").unionByName(said.withColumn("p", F.lit(2)).join(raw, "g")).unionByName(cats.withColumn("p", F.lit(1)).join(raw, "g"))
+    # a phrase of the title with one typing error counts where nothing else tells the type, and is no name either
+    typed = key.filter(F.length("g") >= TELLING).select(F.explode(one_edit(F.col("g"), " abcdefghijklmnopqrstuvwxyz")).alias("g"), "type").distinct()
+    found = found.unionByName(g.withColumn("p", F.lit(4)).join(typed, "g").select("g", "parent_asin", "p", F.col("g").alias("phrase"), "type"))
     # the category is the surest, then the listing's sentences, then the longest phrase of the title
     best = found.groupBy("parent_asin").agg(F.min_by("type", F.struct("p", -F.length("phrase"), "phrase")).alias("type"), F.collect_set("phrase").alias("phrases"))
     j = one.join(best, "parent_asin", "left")
@@ -275,32 +281,56 @@ def profiles(items: DataFrame) -> DataFrame:
 
 
 def settle_names(p: DataFrame) -> DataFrame:
-    """Brand and line in the spelling that most listings of the type use, where one typing error leads there; a brand that isn't stated is taken from the line if only one brand has it."""
-    no_line = p.filter("line is null and type is not null and brand is not null")
-    p = p.filter("line is not null and type is not null")
+    """Brand and line in the spelling that most listings of the type use, where one typing error leads there; a brand that isn't stated is taken from the line if only one brand has it.
+
+    A listing without a type is compared with those of all types, and then takes the type of its brand and line (``settle_types``); "" is a type that nothing tells.
+    """
+    p = p.withColumn("type", F.coalesce("type", F.lit("")))
+    no_line = p.filter("line is null and brand is not null")
+    p = p.filter("line is not null")
     trip = p.groupBy("type", "brand", "line").agg(F.count(F.lit(1)).alias("n"))
     # lines within the edit bound share a deletion variant; each distinct line is compared once, whatever its types and brands
     keyed = cut(trip.select("line").distinct().withColumn("key", F.explode(deletions(F.col("line"), SPELLING))))
     close = keyed.join(keyed.select("key", F.col("line").alias("l2")), "key").select("line", "l2").distinct().filter(F.levenshtein("line", "l2", SPELLING) >= 0)
-    b = trip.filter("brand is not null").select("type", F.col("brand").alias("b2"), F.col("line").alias("l2"), F.col("n").alias("n2"))
-    near = trip.join(close, "line").join(b, ["type", "l2"]).filter(F.col("brand").isNull() | (F.levenshtein("brand", "b2", SPELLING) >= 0))
-    near = near.select("type", "brand", "line", "n", "b2", "l2", "n2").distinct()
+    a = trip.join(close, "line")
+    b = trip.filter("brand is not null").select(F.col("type").alias("t2"), F.col("brand").alias("b2"), F.col("line").alias("l2"), F.col("n").alias("n2"))
+    near = a.filter("type <> ''").join(b.withColumn("type", F.col("t2")), ["type", "l2"]).unionByName(a.filter("type = ''").join(b, "l2"))
+    near = near.filter(F.col("brand").isNull() | (F.levenshtein("brand", "b2", SPELLING) >= 0))
+    near = near.select("type", "brand", "line", "n", "t2", "b2", "l2", "n2").distinct()
     stated = near.filter("brand is not null").groupBy("type", "brand", "line").agg(F.max(F.struct("n2", "b2", "l2")).alias("m")).select("type", F.col("brand"), "line", F.col("m.b2").alias("to_b"), F.col("m.l2").alias("to_l"))
     # spellings of one brand count as one before the uniqueness is judged
-    back = near.filter("brand is null").join(stated.select("type", F.col("brand").alias("b2"), F.col("line").alias("l2"), F.col("to_b").alias("c_b"), F.col("to_l").alias("c_l")), ["type", "b2", "l2"])
+    back = near.filter("brand is null").join(stated.select(F.col("type").alias("t2"), F.col("brand").alias("b2"), F.col("line").alias("l2"), F.col("to_b").alias("c_b"), F.col("to_l").alias("c_l")), ["t2", "b2", "l2"])
     silent = back.groupBy("type", "line").agg(F.countDistinct("c_b", "c_l").alias("k"), F.max("c_b").alias("to_b"), F.max("c_l").alias("to_l")).filter("k = 1").select("type", F.lit(None).cast("string").alias("brand"), "line", "to_b", "to_l")
     to = stated.unionByName(silent)
     to = to.select(F.col("type").alias("t_"), F.col("brand").alias("b_"), F.col("line").alias("l_"), "to_b", "to_l")
     j = p.join(to, (p.type == F.col("t_")) & p.brand.eqNullSafe(F.col("b_")) & (p.line == F.col("l_")), "left")
     named = j.select("parent_asin", "type", F.coalesce("to_b", "brand").alias("brand"), F.coalesce("to_l", "line").alias("line"), *ATTRIBUTES)
-    # a listing that names no line is taken for the only line that its brand has of the type
-    only = named.filter("brand is not null").groupBy("type", "brand").agg(F.countDistinct("line").alias("k"), F.max("line").alias("line_")).filter("k = 1").select("type", "brand", "line_")
-    return named.unionByName(no_line.join(only, ["type", "brand"]).select("parent_asin", "type", "brand", F.col("line_").alias("line"), *ATTRIBUTES))
+    # a listing that names no line is taken for the only line that its brand has of the type, or at all if it has no type
+    has = named.filter("brand is not null").select("type", "brand", "line")
+    has = has.unionByName(has.filter("type <> ''").withColumn("type", F.lit("")))
+    only = has.groupBy("type", "brand").agg(F.countDistinct("line").alias("k"), F.max("line").alias("line_")).filter("k = 1").select("type", "brand", "line_")
+    return settle_types(named.unionByName(no_line.join(only, ["type", "brand"]).select("parent_asin", "type", "brand", F.col("line_").alias("line"), *ATTRIBUTES)))
+
+
+def settle_types(named: DataFrame) -> DataFrame:
+    """Type "" replaced by the type with which the brand has the line; of several the one whose listings contradict least and agree most."""
+    named = cut(named)
+    bare = named.filter("type = ''")
+    typed = named.filter("type <> '' and brand is not null").groupBy("type", "brand", "line", *ATTRIBUTES).agg(F.count(F.lit(1)).alias("n"))
+    typed = typed.select(F.col("type").alias("t2"), "brand", "line", "n", *[F.col(f).alias(f"{f}_2") for f in ATTRIBUTES])
+    same = []
+    for f in ATTRIBUTES:
+        x, y = F.col(f), F.col(f"{f}_2")
+        room = ROUNDING if f in NUMBERS and f not in EXACT else 0
+        same.append(F.abs(x - y) <= room * F.greatest(x, y) + 1e-9 if f in NUMBERS else x == y)
+    score = sum((F.when(e, 1).when(~e, -len(ATTRIBUTES)).otherwise(0) for e in same), F.lit(0))
+    best = bare.join(typed, ["brand", "line"]).groupBy("parent_asin").agg(F.max_by("t2", F.struct(score, "n", "t2")).alias("t2"))
+    return named.join(best, "parent_asin", "left").select("parent_asin", F.coalesce("t2", "type").alias("type"), *FIELDS)
 
 
 STRINGS = [f for f in FIELDS if f not in NUMBERS]
 _ORDER = [*STRINGS, *NUMBERS]
-_EXACT = [k for k, f in enumerate(NUMBERS) if f in ("pieces", "extent")]
+_EXACT = [k for k, f in enumerate(NUMBERS) if f in EXACT]
 
 
 def _arrays(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -440,7 +470,7 @@ def cluster_blocks(g: pd.DataFrame, first: np.ndarray, size: np.ndarray, model:
 def group_listings(items: DataFrame) -> DataFrame:
     """(parent_asin, group_id): listings of one product share a group; a listing without a twin is alone in its own.
 
-    Nulls and empty arrays state nothing; listings without a type, or with neither line nor brand, stay alone. Copies with
+    Nulls and empty arrays state nothing; a listing without a type takes that of its brand and line; listings with neither line nor brand stay alone. Copies with
     the same parsed profile are compared once, so a block holds as many rows as a line has differently stated versions. Repeated
     rows of one ``parent_asin`` count as one listing.
     """

@@ -111,6 +111,20 @@ def test_lines_with_a_typing_error_anywhere(spark):
     assert {(a, x) for a, x in got.items() if not a.startswith(x)} == set()
 
 
+def test_listings_without_a_type(spark):
+    """A typing error in the type word, or no word of a type at all, doesn't part a listing from its product."""
+
+    def row(a, title, cat="Flash Cards", store="Dunksilora"):
+        return (a, title, store, ["Books", cat] if cat else [], [], None, "{}", 1, "x")
+
+    rows = [row(f"a{i}", f"Dunksilora Lorelloflin {t}, 12-pack") for i, t in enumerate(["Flash Cards", "flash cards", "Flash Cards"])]
+    rows += [row(f"z{i}", f"Kalntoyore {x} Wireless Controller", "Wireless Controller", "Kalntoyore") for i, x in enumerate(["Marenihemax", "Fenayabach", "Griynnetorp"])]
+    rows += [row("w", "wireess controller, Marenihemax", None, "kalntoyore"), row("h", "Flahs Cards Lorelloflin, pack of 12", None), row("n", "Dunksilora Lorellofiln, 12-pack", None), row("o", "Dunksilora Lorelloflin, 6-pack", None)]
+    g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows, LISTING)).collect()}
+    assert len(g) == len(rows) and g["w"] == g["z0"] and g["z0"] != g["z1"]
+    assert g["a0"] == g["a1"] == g["a2"] == g["h"] == g["n"] != g["o"]
+
+
 def test_works(spark):
     rng = random.Random(6)
     words = ["graph", "sparse", "ranking", "deep", "session", "bandit", "causal", "fair", "music", "travel", "query", "cold", "budget", "offline", "privacy", "neural"]
