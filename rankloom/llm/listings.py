@@ -236,26 +236,27 @@ def _phrase_key(c: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\-]+", " "))
 
 
-def type_table(items: DataFrame, least: int = 3) -> DataFrame:
+def type_table(items: DataFrame) -> DataFrame:
     """(phrase, type) of the phrases that listings use for their product type, by the category most often seen with them.
 
-    Phrases come from the listing's own sentences and from the category names; one needs ``least`` listings. As many rows as the
-    catalogue has names for types, whatever the number of listings.
+    Phrases come from the listing's own sentences and from the category names, whatever their number; the count of listings only
+    chooses between categories. The type of a phrase that never occurs with a category is null. As many rows as the catalogue has
+    names for types, whatever the number of listings.
     """
     cat = F.try_element_at("categories", F.lit(-1))
     texts = F.concat(F.coalesce("features", F.array().cast("array<string>")), F.coalesce("description", F.array().cast("array<string>")))
     t = items.select("parent_asin", _phrase_key(cat).alias("cat"), F.explode(texts).alias("x"))
     hit = F.coalesce(*[F.nullif(F.regexp_extract("x", p, 1), F.lit("")) for p in TYPE_PHRASES])
-    seen = t.select("cat", _phrase_key(hit).alias("phrase")).filter("phrase is not null and phrase <> ''")
-    own = items.select(_phrase_key(cat).alias("cat")).filter("cat is not null and cat <> ''").withColumn("phrase", F.col("cat"))
-    n = seen.unionByName(own).groupBy("phrase", "cat").agg(F.count(F.lit(1)).alias("n"))
+    seen = t.select("parent_asin", "cat", _phrase_key(hit).alias("phrase")).filter("phrase is not null and phrase <> ''")
+    own = items.select("parent_asin", _phrase_key(cat).alias("cat")).filter("cat is not null and cat <> ''").withColumn("phrase", F.col("cat"))
+    n = seen.unionByName(own).groupBy("phrase", "cat").agg(F.countDistinct("parent_asin").alias("n"))
     # a category counts, a missing one only where there is no other
-    per = n.groupBy("phrase").agg(F.max(F.struct(F.when(F.col("cat").isNull() | (F.col("cat") == ""), 0).otherwise(F.col("n")).alias("k"), "cat")).alias("m"), F.sum("n").alias("n"))
-    return per.filter(F.col("n") >= least).select("phrase", F.coalesce(F.nullif(F.col("m.cat"), F.lit("")), F.col("phrase")).alias("type"))
+    per = n.groupBy("phrase").agg(F.max(F.struct(F.when(F.col("cat").isNull() | (F.col("cat") == ""), 0).otherwise(F.col("n")).alias("k"), "cat")).alias("m"))
+    return per.select("phrase", F.nullif(F.col("m.cat"), F.lit("")).alias("type"))
 
 
 def profiles(items: DataFrame) -> DataFrame:
-    """(parent_asin, type, fields...): one row per listing, from the row with the newest counts."""
+    """(parent_asin, type, said, fields...): one row per listing, from the row with the newest counts. ``said`` is a phrase for its type that no category goes with."""
     rest = [c for c in ("rating_number", "title", "store", "categories", "features", "description", "details") if c in items.columns]
     one = items.filter("parent_asin is not null").groupBy("parent_asin").agg(F.max(F.struct(*rest)).alias("m")).select("parent_asin", "m.*")
     one = cut(one)
@@ -268,24 +269,27 @@ def profiles(items: DataFrame) -> DataFrame:
     cats = one.select("parent_asin", _phrase_key(F.try_element_at("categories", F.lit(-1))).alias("g")).filter("g is not null and g <> ''")
     key = types.select(F.trim(F.regexp_replace("phrase", "[^a-z]+", " ")).alias("g"), "phrase", "type")
     raw = types.select(F.col("phrase").alias("g"), "phrase", "type")
+    key, raw = (x.withColumn("said", F.col("phrase")) for x in (key, raw))
     found = g.withColumn("p", F.lit(3)).join(key, "g").unionByName(said.withColumn("p", F.lit(2)).join(raw, "g")).unionByName(cats.withColumn("p", F.lit(1)).join(raw, "g"))
     # a phrase of the title with one typing error counts where nothing else tells the type, and is no name either
-    typed = key.filter(F.length("g") >= TELLING).select(F.explode(one_edit(F.col("g"), " abcdefghijklmnopqrstuvwxyz")).alias("g"), "type").distinct()
-    found = found.unionByName(g.withColumn("p", F.lit(4)).join(typed, "g").select("g", "parent_asin", "p", F.col("g").alias("phrase"), "type"))
+    typed = key.filter(F.length("g") >= TELLING).select(F.explode(one_edit(F.col("g"), " abcdefghijklmnopqrstuvwxyz")).alias("g"), "said", "type").distinct()
+    found = found.unionByName(g.withColumn("p", F.lit(4)).join(typed, "g").select("g", "parent_asin", "p", F.col("g").alias("phrase"), "type", "said"))
     # the category is the surest, then the listing's sentences, then the longest phrase of the title
-    best = found.groupBy("parent_asin").agg(F.min_by("type", F.struct("p", -F.length("phrase"), "phrase")).alias("type"), F.collect_set("phrase").alias("phrases"))
+    rank = F.struct("p", -F.length("phrase"), "phrase", "said")
+    best = found.groupBy("parent_asin").agg(F.min_by("type", F.when(F.col("type").isNotNull(), rank)).alias("type"), F.min_by("said", F.when(F.col("type").isNull(), rank)).alias("said"), F.collect_set("phrase").alias("phrases"))
     j = one.join(best, "parent_asin", "left")
     n = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), items.sparkSession.sparkContext.defaultParallelism)
     p = j.repartition(n, "parent_asin").withColumn("f", _parse("title", "store", "features", "description", "details", "phrases"))
-    return p.select("parent_asin", "type", "f.*")
+    return p.select("parent_asin", "type", "said", "f.*")
 
 
 def settle_names(p: DataFrame) -> DataFrame:
     """Brand and line in the spelling that most listings of the type use, where one typing error leads there; a brand that isn't stated is taken from the line if only one brand has it.
 
-    A listing without a type is compared with those of all types, and then takes the type of its brand and line (``settle_types``); "" is a type that nothing tells.
+    A listing without a type is compared with those of all types, and then takes the type of its brand and line (``settle_types``); one whose brand and line
+    have none keeps what it ``said``, where that column is given. "" is a type that nothing tells.
     """
-    p = p.withColumn("type", F.coalesce("type", F.lit("")))
+    p = p.withColumn("type", F.coalesce("type", F.lit(""))).withColumn("said", F.col("said") if "said" in p.columns else F.lit(None).cast("string"))
     no_line = p.filter("line is null and brand is not null")
     p = p.filter("line is not null")
     trip = p.groupBy("type", "brand", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -304,19 +308,25 @@ def settle_names(p: DataFrame) -> DataFrame:
     to = stated.unionByName(silent)
     to = to.select(F.col("type").alias("t_"), F.col("brand").alias("b_"), F.col("line").alias("l_"), "to_b", "to_l")
     j = p.join(to, (p.type == F.col("t_")) & p.brand.eqNullSafe(F.col("b_")) & (p.line == F.col("l_")), "left")
-    named = j.select("parent_asin", "type", F.coalesce("to_b", "brand").alias("brand"), F.coalesce("to_l", "line").alias("line"), *ATTRIBUTES)
-    # a listing that names no line is taken for the only line that its brand has of the type, or at all if it has no type
+    named = j.select("parent_asin", "type", "said", F.coalesce("to_b", "brand").alias("brand"), F.coalesce("to_l", "line").alias("line"), *ATTRIBUTES)
+    named = cut(settle_types(named))
+    # a listing that names no line is taken for the only line that its brand has of the type, or at all if the brand has none of it and no category tells it
     has = named.filter("brand is not null").select("type", "brand", "line")
-    has = has.unionByName(has.filter("type <> ''").withColumn("type", F.lit("")))
-    only = has.groupBy("type", "brand").agg(F.countDistinct("line").alias("k"), F.max("line").alias("line_")).filter("k = 1").select("type", "brand", "line_")
-    return settle_types(named.unionByName(no_line.join(only, ["type", "brand"]).select("parent_asin", "type", "brand", F.col("line_").alias("line"), *ATTRIBUTES)))
-
-
-def settle_types(named: DataFrame) -> DataFrame:
-    """Type "" replaced by the type with which the brand has the line; of several the one whose listings contradict least and agree most."""
+    only = lambda df, *by: df.groupBy(*by).agg(F.countDistinct("line").alias("k"), F.max("line").alias("line_"))
+    spoken = no_line.withColumn("known", F.col("type") != "").withColumn("type", F.coalesce(F.nullif("type", F.lit("")), "said", F.lit("")))
+    by_type = spoken.join(only(has, "type", "brand"), ["type", "brand"], "left")
+    taken = by_type.filter("k = 1")
+    loose = by_type.filter("k is null and not known").drop("k", "line_", "type").join(only(has, "brand").filter("k = 1"), "brand").withColumn("type", F.lit(""))
+    lines = taken.select("parent_asin", "type", "said", "brand", F.col("line_").alias("line"), *ATTRIBUTES)
+    lines = lines.unionByName(settle_types(loose.select("parent_asin", "type", "said", "brand", F.col("line_").alias("line"), *ATTRIBUTES), named))
+    return named.unionByName(lines).select("parent_asin", "type", *FIELDS)
+
+
+def settle_types(named: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Type "" replaced by the type with which the brand has the line; of several the one whose listings contradict least and agree most, of the same listings or those ``among``; else by what the listing said."""
     named = cut(named)
     bare = named.filter("type = ''")
-    typed = named.filter("type <> '' and brand is not null").groupBy("type", "brand", "line", *ATTRIBUTES).agg(F.count(F.lit(1)).alias("n"))
+    typed = (named if among is None else among).filter("type <> '' and brand is not null").groupBy("type", "brand", "line", *ATTRIBUTES).agg(F.count(F.lit(1)).alias("n"))
     typed = typed.select(F.col("type").alias("t2"), "brand", "line", "n", *[F.col(f).alias(f"{f}_2") for f in ATTRIBUTES])
     same = []
     for f in ATTRIBUTES:
@@ -325,7 +335,7 @@ def settle_types(named: DataFrame) -> DataFrame:
         same.append(F.abs(x - y) <= room * F.greatest(x, y) + 1e-9 if f in NUMBERS else x == y)
     score = sum((F.when(e, 1).when(~e, -len(ATTRIBUTES)).otherwise(0) for e in same), F.lit(0))
     best = bare.join(typed, ["brand", "line"]).groupBy("parent_asin").agg(F.max_by("t2", F.struct(score, "n", "t2")).alias("t2"))
-    return named.join(best, "parent_asin", "left").select("parent_asin", F.coalesce("t2", "type").alias("type"), *FIELDS)
+    return named.join(best, "parent_asin", "left").select("parent_asin", F.coalesce("t2", F.nullif("type", F.lit("")), "said", F.lit("")).alias("type"), "said", *FIELDS)
 
 
 STRINGS = [f for f in FIELDS if f not in NUMBERS]

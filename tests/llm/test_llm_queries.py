@@ -125,6 +125,21 @@ def test_listings_without_a_type(spark):
     assert g["a0"] == g["a1"] == g["a2"] == g["h"] == g["n"] != g["o"]
 
 
+def test_listings_of_rare_type_phrases(spark):
+    """One listing's own sentence tells its type, with or without a category elsewhere, and the count of other listings doesn't matter."""
+
+    def row(a, title, said, cat=None, store="Kaldrajuni"):
+        return (a, title, store, ["Video Games", cat] if cat else [], [], [f"Colour of this {said}: pink."], "{}", 1, "x")
+
+    rows = [row(f"a{i}", "gaming headset, Kaldrajuni Fenayabach", "gaming headset", "Gaming Headset") for i in range(3)]
+    rows += [row("r", "headset for gamers, Kaldrajuni Fenayabach", "headset for gamers"), row("s", "lab gloves, Lorelloxin", "lab gloves", "Nitrile Gloves", "Griynneto"), row("t", "Griynneto Lorelloxin", "lab gloves", None, "Griynneto")]
+    rows += [row("u", "reading lamp, Dunksilora Marenihemax", "reading lamp", None, "Dunksilora"), row("v", "Dunksilora reading lamp", "reading lamp", None, "Dunksilora"), row("w", "Dunksilora Venovinaro garden hose", "garden hose", None, "Dunksilora")]
+    types = {r.phrase: r.type for r in listings.type_table(spark.createDataFrame(rows, LISTING)).collect()}
+    assert types["lab gloves"] == "nitrile gloves" and types["headset for gamers"] is None
+    g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows, LISTING)).collect()}
+    assert len(g) == len(rows) and g["r"] == g["a0"] == g["a2"] and g["s"] == g["t"] and g["u"] == g["v"] != g["w"]
+
+
 def test_works(spark):
     rng = random.Random(6)
     words = ["graph", "sparse", "ranking", "deep", "session", "bandit", "causal", "fair", "music", "travel", "query", "cold", "budget", "offline", "privacy", "neural"]
