@@ -12,6 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -158,13 +159,34 @@ def held_words(doc: list[str], item: list[str]) -> float:
     runs = [(t, a, z, ds) for t, a, z, ds in best if t >= 5]
     if not runs:
         return 0.0
-    runs.sort(reverse=True)
-    top = runs[0][0]
-    for t, a, z, ds in runs[:40]:
-        for t2, a2, z2, ds2 in runs[:40]:
-            if a2 >= z - 2 and ds2 > ds:  # in their order
-                top = max(top, t + t2 - max(0, z - a2))
-    return top / n
+    return best_ordered(runs) / n
+
+
+def best_ordered(runs: list[tuple[int, int, int, int]]) -> int:
+    """Most words that one run or two of them in their order hold; runs are (matched, first item word, last item word, first text word).
+
+    The second run begins later in the text and at most two words before the first one's end in the item; words that both hold count once.
+    Runs are taken by text position, with the best first run so far per end in the item, as prefix maxima in a binary indexed tree.
+    """
+    last = max(z for _, _, z, _ in runs)
+    exact, upto = [0] * (last + 3), [0] * (last + 1)  # a second run alone is as good as one after a first of no words
+    top = 0
+    runs = sorted(runs, key=lambda r: r[3])
+    for _, same in groupby(runs, key=lambda r: r[3]):
+        same = list(same)
+        for t, a, _, _ in same:
+            k, first = a, 0
+            while k > 0:
+                first = max(first, upto[k])
+                k -= k & -k
+            top = max(top, t + first, t + exact[a + 1] - 1, t + exact[a + 2] - 2)
+        for t, _, z, _ in same:
+            exact[z] = max(exact[z], t)
+            k = z
+            while k <= last:
+                upto[k] = max(upto[k], t)
+                k += k & -k
+    return top
 
 
 def _between(a: list[str], b: list[str]) -> int:

@@ -100,6 +100,21 @@ def test_leak_embedding_and_check():
     assert bag[3] == ["text", "number", "3", "goes", "on"]
 
 
+def test_second_run_is_found_beside_many_repetitions():
+    item = [f"w{i}" for i in range(60)]
+    doc = [x for r in range(41) for x in [*item[:17], *(f"v{r}x{i}" for i in range(9))]] + item[30:46]
+    assert L.held_words(doc, item) == 33 / 60
+    rng = random.Random(5)
+    for _ in range(400):
+        runs = []
+        for _ in range(rng.randrange(1, 25)):
+            a = rng.randrange(30)
+            z = a + rng.randrange(5, 20)
+            runs.append((rng.randrange(5, z - a + 1), a, z, rng.randrange(40)))
+        pairs = [t + t2 - max(0, z - a2) for t, _, z, ds in runs for t2, a2, _, ds2 in runs if a2 >= z - 2 and ds2 > ds]
+        assert L.best_ordered(runs) == max([r[0] for r in runs] + pairs)
+
+
 def test_spam():
     m = {"en": 0.3}
     prose = "The tuner arrived on time and it works well with my old guitar, although the clip could be a bit stronger. " * 3
