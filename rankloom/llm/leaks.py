@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.llm import chars as C
 
@@ -54,15 +55,28 @@ def leak_words(text: str | None) -> list[str]:
     return _WORDS.findall(re.sub(r"[-‐]\r?\n\s*(?=[a-z])|<[^>]{1,40}>|&(?:nbsp|amp|lt|gt|quot|#\d+);", " ", text).lower())
 
 
-def strip_shared(items: list[tuple[int, str]]) -> dict[int, list[str]]:
-    """Words of each item without an opening sentence that at least a twentieth of the items (and two) open with."""
+@F.pandas_udf(T.StringType())
+def _opening(text: pd.Series) -> pd.Series:
+    first = (_SENTENCE.split(t, maxsplit=1) for t in text)
+    return pd.Series([" ".join(leak_words(p[0])) if len(p) > 1 else None for p in first], dtype=object)
+
+
+def shared_openings(items: DataFrame, text_col: str, n: int) -> set[tuple[str, ...]]:
+    """Opening sentences of at least a twentieth of ``n`` items (and five), counted over all of them: at most twenty rows reach the driver."""
+    seen = items.select(_opening(text_col).alias("o")).filter("o is not null").groupBy("o").count().filter(F.col("count") >= max(5, n // 20))
+    return {tuple(r["o"].split()) for r in seen.collect()}
+
+
+def strip_shared(items: list[tuple[int, str]], known: set[tuple[str, ...]] | None = None) -> dict[int, list[str]]:
+    """Words of each item without an opening sentence that is ``known`` to be shared, or that at least a twentieth of the items (and five) open with."""
     first = {i: _SENTENCE.split(t or "", maxsplit=1) for i, t in items}
     opening = Counter(tuple(leak_words(p[0])) for p in first.values() if len(p) > 1)
     least = max(5, len(items) // 20)
     out = {}
     for i, t in items:
         p = first[i]
-        shared = len(p) > 1 and opening[tuple(leak_words(p[0]))] >= least
+        o = tuple(leak_words(p[0]))
+        shared = len(p) > 1 and (opening[o] >= least if known is None else o in known)
         out[i] = leak_words(p[1] if shared else t)
     return out
 
@@ -156,7 +170,7 @@ def held_words(doc: list[str], item: list[str]) -> float:
         best.append((top, ks, k + m, ds))
     if not best:
         return 0.0
-    runs = [(t, a, z, ds) for t, a, z, ds in best if t >= 5]
+    runs = [(t, a, z, ds) for t, a, z, ds in best if t >= min(5, n)]
     if not runs:
         return 0.0
     return best_ordered(runs) / n
@@ -205,14 +219,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()
     n = src.count()
     blocks = max(1, -(-n // cfg.max_items))
     doc_type, it_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    known_openings = shared_openings(src, item_text, n) if blocks > 1 else None
+    short = 2 * (cfg.window + cfg.least_windows - 1)  # half of an item below this may have too few windows
     out = None
     for b in range(blocks):
         part = src if blocks == 1 else src.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)
-        bag = strip_shared([(r[0], r[1]) for r in part.collect()])
-        bag = {i: w for i, w in bag.items() if len(w) >= cfg.window}
+        bag = strip_shared([(r[0], r[1]) for r in part.collect()], known_openings)
+        bag = {i: w for i, w in bag.items() if len(w) >= 3}
         key_list, own_list, ids = [], [], {}
         order = sorted(bag)
+        grams: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for at, i in enumerate(order):
+            if len(bag[i]) < short:
+                for g in set(zip(bag[i], bag[i][1:], bag[i][2:], strict=False)):
+                    grams[g].append(at)
+                continue
             w = _word_ids(bag[i], ids)
             keys = window_keys(w, np.arange(len(w) - cfg.window + 1), cfg.window, cfg)
             key_list.append(keys.ravel())
@@ -220,16 +241,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()
         keys = np.concatenate(key_list) if key_list else np.zeros(0, np.uint64)
         owns = np.concatenate(own_list) if own_list else np.zeros(0, np.int64)
         pairs = np.unique(np.stack([keys, owns.astype(np.uint64)], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
-        bc = spark.sparkContext.broadcast((pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), [(i, bag[i]) for i in order]))
+        bc = spark.sparkContext.broadcast((pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), [(i, bag[i]) for i in order], dict(grams)))
 
         def run(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            known, owner, texts = bc.value
+            known, owner, texts, grams = bc.value
             ids: dict[str, int] = {}
             for batch in batches:
                 found = []
                 for lo in range(0, len(batch), 256):
                     part = batch.iloc[lo : lo + 256]
                     rows = [(d, leak_words(t)) for d, t in zip(part[id_col], part[text_col], strict=True) if isinstance(t, str)]
+                    # items too short for windows are compared with every text that shares three words in a row, as each run does
+                    for d, w in rows if grams else []:
+                        for o in {o for g in zip(w, w[1:], w[2:], strict=False) for o in grams.get(g, ())}:
+                            item, iw = texts[o]
+                            share = held_words(w, iw)
+                            if share >= cfg.share:
+                                found.append((d, item, share))
                     rows = [(d, w) for d, w in rows if len(w) >= cfg.window]
                     if not rows or not len(known):
                         continue

@@ -77,6 +77,19 @@ def test_leaks(spark):
     assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_short_items_and_in_blocks(spark):
+    short = [(1, "one two three four five six seven eight"), (2, "red green blue"), (3, " ".join(f"w{i}" for i in range(18)))]
+    docs = [(1, "x y one two three four five six z"), (2, "a red green blue b"), (3, " ".join(f"w{i}" for i in range(9))), (4, "one two red w1 w2")]
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(short, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 3)]
+    # five items of many blocks open with one instruction: a text of the instruction alone holds none of them
+    head = "Read the long passage below with care and then give the one right answer to the question that follows after it here."
+    items = [(i, head + " " + " ".join(f"item{i}word{k}" for k in range(15))) for i in range(5)]
+    for most in (100, 1):
+        one = leaks.find_leaks(spark.createDataFrame([(1, head)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), leaks.LeakConfig(max_items=most))
+        assert one.count() == 0
+
+
 def test_spam_rows(spark):
     docs = [(1, "cheap mouse mat online, buy flash cards sale, " * 10), (2, None), (3, ""), (4, "We read the paper and it was clear to us that the method works. " * 5), (1, "cheap mouse mat online, buy flash cards sale, " * 10)]
     assert [r.doc_id for r in spam.find_spam(spark.createDataFrame(docs, "doc_id long, text string")).collect()] == [1]
