@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import chars as C
+from rankloom.session import cut
 
 #: Edit distance (insertions, deletions, substitutions) within which keys are joined; a transposition counts two.
 RADIUS = 2
-#: Pivots; each is one of the reference keys.
-PIVOTS = 48
-#: Upper bound of the reference keys whose pivots are picked on the driver; above it the pick still returns only PIVOTS rows.
+#: Pivots, each one of the reference keys: their square root in number, within these bounds.
+PIVOTS = (8, 256)
+#: Reference keys of one cell and ring beyond which they are split over several tasks.
+RING_ROWS = 20_000
 PARTICLES = frozenset("de der van von den del della di da dos du la le ten ter zu al el bin ibn".split())
 TITLES = frozenset("dr prof professor mr mrs ms phd md msc bsc jr sr ii iii eds ed editor sir dipl ing".split())
 FILLER = frozenset("the team group members of and on behalf for".split())
@@ -96,9 +98,16 @@ def name_keys(raw: str) -> list[str]:
     keys = [w.replace("'", "").replace("’", "") for w in words if len(w) >= 4 and w not in PARTICLES and w not in FILLER]
     for w in words:
         keys += [x for x in w.split("-") if "-" in w and len(x) >= 4]
+    # a short word can't stand a typing error: it is looked up with the initial of another word
+    short = [(k, w) for k, w in enumerate(words) if 2 <= len(w) < 4 and w not in FILLER]
+    keys += [short_key(w, o) for k, w in short for i, o in enumerate(words) if i != k]
     return list(dict.fromkeys(keys))
 
 
+def short_key(surname: str, given: str) -> str:
+    return f"{surname} {given[:1]}"
+
+
 @lru_cache(maxsize=20_000)
 def reference(full: str, kind: str) -> dict:
     words = [w for w in _PART.findall(C.fold(full).replace(".-", "-").replace(".", " ")) if w]
@@ -112,29 +121,41 @@ def reference(full: str, kind: str) -> dict:
 def reference_keys(full: str, kind: str) -> list[str]:
     r = reference(full, kind)
     if r["group"]:
-        return [r["head"]]
+        return [r["head"]] if len(r["head"]) >= 4 else [short_key(r["head"], w) for w in r["rest"]]
     g, p = r["given"].replace("-", ""), "".join(r["particles"])
-    return list(dict.fromkeys([r["surname"], g + p + r["surname"], g + "".join(m[0] for m in r["middle"]) + p + r["surname"]]))
+    keys = [g + p + r["surname"], g + "".join(m[0] for m in r["middle"]) + p + r["surname"]]
+    if len(r["surname"]) >= 4:
+        keys = [r["surname"], *keys]
+    else:
+        keys += [short_key(r["surname"], x) for x in (g, *sorted(_SHORT.get(g, ()))) if x]
+    return list(dict.fromkeys(k for k in keys if k))
 
 
-def _close(a: str, b: str) -> bool:
+def _close(a: str, b: str, least: int = 3) -> bool:
     """One typing error apart, in words long enough to tell."""
-    return a == b or (min(len(a), len(b)) >= 3 and osa(a, b, 1) <= 1)
+    return a == b or (min(len(a), len(b)) >= least and osa(a, b, 1) <= 1)
 
 
 def _umlaut(a: str) -> str:
     return a.replace("ue", "u").replace("oe", "o").replace("ae", "a")
 
 
-def same_word(a: str, b: str) -> bool:
-    return _close(a, b) or (len(a) >= 5 and _umlaut(a) == _umlaut(b))
+def same_word(a: str, b: str, least: int = 3) -> bool:
+    return _close(a, b, least) or (len(a) >= 5 and _umlaut(a) == _umlaut(b))
+
+
+def same_surname(a: str, b: str) -> bool:
+    """``same_word`` of surnames: under four letters only equal ones, since one letter tells them apart."""
+    return a == b or (min(len(a), len(b)) >= 4 and same_word(a, b))
 
 
-def given_matches(words: list[str], given: str, middle: list[str]) -> bool:
+def given_matches(words: list[str], given: str, middle: list[str], surname: str = "") -> bool:
     """Whether the words beside a surname are forms of the given name and middle initials: full, one error, initials, cut, or a short form.
 
-    A middle initial may be missing, and one may stand where the reference has none; a different one means somebody else.
+    A middle initial may be missing, and one may stand where the reference has none; a different one means somebody else. Beside a surname
+    under four letters, short given names stand no error either.
     """
+    least = 4 if 0 < len(surname) < 4 else 3
     halves = given.split("-")
     initials = "".join(h[0] for h in halves)
     mids = [m[0] for m in middle]
@@ -143,7 +164,7 @@ def given_matches(words: list[str], given: str, middle: list[str]) -> bool:
     first, rest = words[0], list(words[1:])
     flat = given.replace("-", "")
     got = False
-    if same_word(first.replace("-", ""), flat) or first in _SHORT.get(flat, ()):
+    if same_word(first.replace("-", ""), flat, least) or first in _SHORT.get(flat, ()):
         got = True
     elif len(halves) > 1 and rest and same_word(first, halves[0]) and same_word(rest[0], halves[1]):
         got, rest = True, rest[1:]
@@ -195,7 +216,7 @@ def means(raw: str, full: str, kind: str) -> bool:
     if len(words) >= 2:
         orders += [(words[-1:], words[:-1]), (words[:1], words[1:])]
     for sur, given in orders:
-        if len(sur) == 1 and same_word(sur[0], r["surname"]) and given_matches(given, r["given"], r["middle"]):
+        if len(sur) == 1 and same_surname(sur[0], r["surname"]) and given_matches(given, r["given"], r["middle"], r["surname"]):
             return True
     # particles that grew onto a word, and names without any blank
     whole = "".join((*b, *a) if b else a).replace("-", "")
@@ -223,27 +244,34 @@ def _means(raw: pd.Series, full: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([means(a, f, k) for a, f, k in zip(raw, full, kind, strict=True)], dtype=bool)
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots: int | None = None, ring_rows: int = RING_ROWS) -> DataFrame:
     """Pairs (key, ref_key) of distinct keys within an edit distance, by metric-space partitioning; exact.
 
     ``left`` has a column ``key``, ``right`` a column ``ref_key``, both distinct and not null. Every reference key lies in the cell
     of its nearest pivot. A key within the radius of it is at most 2 * radius further from that pivot than from its own nearest
     one, and its distance to the pivot differs from the reference key's by at most the radius: cell and distance are the join key.
+    A cell and distance with more than ``ring_rows`` reference keys is split at random, and keys go to all its parts.
     """
-    chosen = [r[0] for r in right.orderBy(F.xxhash64("ref_key"), "ref_key").limit(pivots).collect()]
+    spark = left.sparkSession
+    if pivots is None:
+        pivots = int(min(max(right.count() ** 0.5, PIVOTS[0]), PIVOTS[1]))
+    chosen = [r[0] for r in right.orderBy(F.xxhash64("ref_key"), "ref_key").limit(pivots).collect()]  # at most PIVOTS[1] rows
     if not chosen:
         return left.crossJoin(right).limit(0)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     p = F.array(*[F.lit(c) for c in chosen])
     dist = lambda k: F.transform(p, lambda x: F.levenshtein(F.col(k), x))
-    r = right.withColumn("d", dist("ref_key")).withColumn("near", F.array_min("d"))
-    r = r.select("ref_key", (F.array_position("d", F.col("near")) - 1).cast("int").alias("cell"), F.col("near").cast("int").alias("ring"))
-    q = left.withColumn("d", dist("key")).withColumn("near", F.array_min("d"))
+    # distances cost far more than the bytes of the keys suggest, so the keys are spread by number
+    r = right.repartition(n, "ref_key").withColumn("d", dist("ref_key")).withColumn("near", F.array_min("d"))
+    r = cut(r.select("ref_key", (F.array_position("d", F.col("near")) - 1).cast("int").alias("cell"), F.col("near").cast("int").alias("ring")))
+    parts = r.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / ring_rows).cast("int").alias("parts"))
+    q = left.repartition(n, "key").withColumn("d", dist("key")).withColumn("near", F.array_min("d"))
     q = q.select("key", "near", F.posexplode("d").alias("cell", "dp")).filter(F.col("dp") <= F.col("near") + 2 * radius)
-    # cells hold reference keys up to a radius of their own, which bounds the reach as well
-    reach = r.groupBy("cell").agg(F.max("ring").alias("far"), F.min("ring").alias("close"))
-    q = q.join(reach, "cell").filter((F.col("dp") <= F.col("far") + radius) & (F.col("dp") >= F.col("close") - radius))
     q = q.select("key", "cell", F.explode(F.sequence(F.greatest(F.col("dp") - radius, F.lit(0)), F.col("dp") + radius).cast("array<int>")).alias("ring"))
-    pairs = q.join(r, ["cell", "ring"])
+    # only cells and rings that hold reference keys, each part of them
+    q = q.join(parts, ["cell", "ring"]).select("key", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    r = r.join(parts, ["cell", "ring"]).select("ref_key", "cell", "ring", F.pmod(F.xxhash64("ref_key"), F.col("parts")).cast("int").alias("part"))
+    pairs = q.join(r, ["cell", "ring", "part"])
     return pairs.filter(F.levenshtein("key", "ref_key", radius) >= 0).select("key", "ref_key")
 
 
@@ -257,7 +285,9 @@ def link_names(typed: DataFrame, refs: DataFrame, name: str = "name", radius: in
     r = refs.select("author_id", "full_name", F.coalesce("kind", F.lit("person")).alias("kind")).filter(F.trim("full_name") != "").distinct()
     rk = r.withColumn("ref_key", F.explode(_ref_keys("full_name", "kind"))).filter("ref_key <> ''")
     tk = t.withColumn("key", F.explode(_keys("name")))
-    near = radius_join(tk.select("key").distinct(), rk.select("ref_key").distinct(), radius)
+    short = F.col("key").contains(" ")  # keys of short names only meet as they are
+    near = radius_join(tk.filter(~short).select("key").distinct(), rk.filter(~F.col("ref_key").contains(" ")).select("ref_key").distinct(), radius)
+    near = near.unionByName(tk.filter(short).select("key", F.col("key").alias("ref_key")).distinct())
     cand = tk.join(near, "key").join(rk, "ref_key").select("name", "author_id", "full_name", "kind").distinct()
     hit = cand.filter(_means("name", "full_name", "kind"))
     one = hit.groupBy("name").agg(F.countDistinct("author_id").alias("n"), F.min("author_id").alias("author_id"), F.max(F.when(F.col("name") == F.col("full_name"), True)).alias("exact"))

@@ -53,7 +53,7 @@ def test_radius_join_is_exact(spark):
         return row[-1]
 
     want = {(a, b) for a in left for b in right if lev(a, b) <= 2}
-    got = names.radius_join(spark.createDataFrame([(x,) for x in left], "key string"), spark.createDataFrame([(x,) for x in right], "ref_key string"), 2, 7)
+    got = names.radius_join(spark.createDataFrame([(x,) for x in left], "key string"), spark.createDataFrame([(x,) for x in right], "ref_key string"), 2, 7, 3)
     assert {tuple(r) for r in got.collect()} == want
 
 
@@ -173,3 +173,34 @@ def test_works(spark):
     got = {(r.paper_key, r.arxiv_id) for r in works.match_works(p, e, log).filter("confidence > 0.5").collect()}
     assert got == {(f"k{i}", ents[i][0]) for i in range(1, 60, 2)}
     assert works.match_works(p.limit(0), e, log).filter(F.col("confidence") > 0.5).count() == 0
+
+
+def test_short_surnames_and_shared_titles(spark):
+    """Li, Wu and Kim are linked like anybody; two entries of one title are both candidates of a paper without an author; hot titles lose no same surname."""
+    rng = random.Random(8)
+    words = ["graph", "sparse", "ranking", "deep", "session", "bandit", "causal", "fair", "music", "travel", "query", "cold", "budget", "offline", "privacy", "neural"]
+    names_ = ["Wei Li", "Ann Wu", "Soo Kim", "Bo Xu", "Margaret Yorynnelett"]
+    ents, paps = [], []
+    for i in range(60):
+        t, who = " ".join(rng.sample(words, 8)), names_[i % 5]
+        ents.append((f"{10 + i % 12}01.{10000 + i}", t, [who, who.split()[1].lower(), ", ".join(reversed(who.split()))][i % 3]))
+        paps.append((f"k{i}", t.title(), who if i % 2 else "Otto Zorn", f"ICML20{10 + i % 12}", None))
+    paps.append(("bare", ents[1][1], None, "ICML2011", None))
+    ents.append(("2401.99999", ents[1][1], "Olga Wild"))
+    p = spark.createDataFrame(paps, "paper_key string, title string, authors string, venue_short string, fetched_at timestamp_ntz")
+    e = spark.createDataFrame(ents, "arxiv_id string, title string, surname string")
+    log = spark.createDataFrame([], "paper_key string, matched_title string, title_sim double")
+    want = {(f"k{i}", ents[i][0]) for i in range(1, 60, 2)}
+    for hot in (works.HOT, 0):
+        works.HOT, was = hot, works.HOT
+        got = works.match_works(p, e, log).collect()
+        works.HOT = was
+        assert {(r.paper_key, r.arxiv_id) for r in got if r.confidence > 0.5 and r.paper_key != "bare"} == want
+        assert {r.arxiv_id for r in got if r.paper_key == "bare"} == {ents[1][0], "2401.99999"}
+
+
+def test_names_of_two_letters(spark):
+    refs = spark.createDataFrame([(1, "Wei Li", "person"), (2, "Ann Wu", "person")], "author_id long, full_name string, kind string")
+    p = spark.createDataFrame([("a", "Li, Wei; W. Li; Ann Wu; Wu A.; Wei Wu")], "arxiv_id string, authors string")
+    c = spark.createDataFrame([("c", "li")], "arxiv_id string, surname string")
+    assert sorted((r.author_pos, r.author_id) for r in names.link_authors(p, c, refs).collect()) == [(1, 1), (2, 1), (4, 2)]

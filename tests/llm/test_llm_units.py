@@ -142,3 +142,26 @@ def test_title_and_author_similarity():
     assert W.title_match("", "x", False, False) == (0.0, 0.0)
     sims = [W.author_similarity("Edmund P. Cörandoren", x) for x in ("corandoren", "CORANDOREN, E.", "Wei Cörandoren", "Kalandolund", "", "Edmund Cörandoren")]
     assert [round(s, 2) for s in sims] == [0.9, 0.95, 0.2, 0.0, 0.5, 1.0]
+
+
+def test_short_surnames():
+    assert W.author_similarity("Wei Li", "Wei Li") == W.author_similarity("Soo Kim", "Kim, Soo") == 1.0
+    assert W.author_similarity("Ann Wu", "wu") == 0.9 and W.author_similarity("Wei Li", "Li Wei") == 1.0
+    assert max(W.author_similarity("Soo Kim", "Soo Lim"), W.author_similarity("Wei Li", "Wei Wu")) <= 0.2
+    assert W.surnames("Wei Li") == [("li", "w"), ("wei", "l")] and W.surnames("Li, Wei") == [("li", "w")] and W.surnames("wu") == [("wu", "")]
+    for full, yes, no in (("Wei Li", ["Li, Wei", "W. Li", "Li Wei", "li wei"], ["Wei Lu", "Ann Li", "Li"]), ("William Wu", ["Bill Wu", "Wu, W."], ["Ann Wu"]), ("Soo Kim", ["S. Kim", "KIM Soo"], ["Soo Lim"])):
+        keys = set(N.reference_keys(full, "person"))
+        assert [n for n in yes if not N.means(n, full, "person") or not keys & set(N.name_keys(n))] == []
+        assert [n for n in no if N.means(n, full, "person")] == []
+
+
+def test_unknown_authors_in_the_mixture():
+    """What a component expects in place of an unknown author similarity is the regression on the known dimensions."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(5, 5))
+    cov, mean = a @ a.T + np.eye(5), np.arange(5.0)
+    x = rng.multivariate_normal(mean, cov, 4000)
+    y = x.copy()
+    y[:, W._AUTHOR] = W.UNKNOWN
+    z, rest = W.expected(y, mean, cov)
+    assert abs(np.mean((z - x)[:, W._AUTHOR])) < 0.1 and abs(np.var((z - x)[:, W._AUTHOR]) / rest - 1) < 0.1
