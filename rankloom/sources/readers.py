@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import glob
+import json
 import os
+import re
 from collections.abc import Sequence
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from rankloom import schemas as S
 from rankloom.functions import text as X
+from rankloom.sources.tables import matches, read_text
 
 
 def dataset_path(root: str, category: str, core: str, kind: str, split: str | None = None) -> str:
@@ -33,13 +36,13 @@ def item_meta(spark: SparkSession, path: str) -> DataFrame:
     return jsonl(spark, path, S.ITEM_META)
 
 
-def domain_year_paths(root: str, domains: Sequence[str], years: Sequence[int | str]) -> list[str]:
-    """Existing folders ``<domain>/<year>``, or ``<year>/<domain>`` where the first is missing."""
+def domain_year_paths(spark: SparkSession, root: str, domains: Sequence[str], years: Sequence[int | str]) -> list[str]:
+    """Existing folders ``<domain>/<year>``, or ``<year>/<domain>`` where the first is missing, on the file system of ``root``."""
     out = []
     for d in domains:
         for y in years:
             for p in (f"{root}/{d}/{y}", f"{root}/{y}/{d}"):
-                if glob.glob(f"{p}/*.jsonl"):
+                if matches(spark, f"{p}/*.json*"):
                     out.append(p)
                     break
     return out
@@ -49,9 +52,9 @@ def domain_papers(spark: SparkSession, root: str, domains: Sequence[str], years:
     """Paper records of the domains and years in either layout, with ``domain``; years without files are skipped, records without title and abstract dropped."""
     parts = []
     for d in domains:
-        paths = domain_year_paths(root, [d], years)
+        paths = domain_year_paths(spark, root, [d], years)
         if paths:
-            parts.append(jsonl(spark, [f"{p}/*.jsonl" for p in paths], S.PAPER_RECORD).withColumn("domain", F.lit(d)))
+            parts.append(jsonl(spark, [f"{p}/*.json*" for p in paths], S.PAPER_RECORD).withColumn("domain", F.lit(d)))
     if not parts:
         return spark.createDataFrame([], T.StructType([*S.PAPER_RECORD.fields, T.StructField("domain", T.StringType())]))
     out = parts[0]
@@ -65,14 +68,46 @@ def count_lines(spark: SparkSession, paths: Sequence[str]) -> int:
     return spark.read.text(list(paths)).filter(X.strip("value") != "").count() if paths else 0
 
 
-def has_data(root: str, domain: str, years: Sequence[int | str]) -> bool:
-    return bool(domain_year_paths(root, [domain], years))
+def has_data(spark: SparkSession, root: str, domain: str, years: Sequence[int | str]) -> bool:
+    return bool(domain_year_paths(spark, root, [domain], years))
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
+    """A settings file as a dictionary: YAML where a parser is installed, JSON anyway. An empty file gives no settings."""
+    text = read_text(spark, path)
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text) if text.strip() else {}
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("reading YAML settings needs the package yaml") from e
+    return yaml.safe_load(text) or {}
+
+
+def flatten_config(nested: dict, prefix: str = "") -> dict:
+    """Nested settings as one level with dotted keys; empty groups vanish."""
+    out: dict = {}
+    for k, v in nested.items():
+        out |= flatten_config(v, f"{prefix}{k}.") if isinstance(v, dict) else {f"{prefix}{k}": v}
+    return out
+
+
+def nest_config(flat: dict) -> dict:
+    """The inverse of ``flatten_config``."""
+    out: dict = {}
+    for k, v in flat.items():
+        *groups, last = k.split(".")
+        at = out
+        for g in groups:
+            at = at.setdefault(g, {})
+        at[last] = v
+    return out
 
 
 def markdown_dir(spark: SparkSession, root: str, host: str = "arxiv.org") -> DataFrame:
     """One row per ``*.md`` file below the root (``readme.md`` and blank files excluded) with the fields taken from path and text."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("uri"))
-    base = os.path.abspath(root)
+    base = os.path.abspath(re.sub(r"^file:/*", "/", root))
     path = F.regexp_replace(F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), r"^file:/+", "/")
     rel = F.regexp_replace(F.expr(f"substring(path, {len(base) + 2})"), r"\.md$", "")
     df = raw.withColumn("path", path).withColumn("paper_id", rel).withColumn("stem", F.element_at(F.split("paper_id", "/"), -1))
@@ -142,6 +177,20 @@ def one_or_many(raw: str, record: T.DataType):
     return F.when(F.ltrim(c).startswith("["), F.from_json(c, T.ArrayType(record))).when(c.isNotNull(), F.array(F.from_json(c, record)))
 
 
+def numbered_volumes(pages: Sequence[Sequence[dict]]) -> list[dict]:
+    """Hits of the numbered volumes of a venue, in order, up to the first empty one."""
+    return [hit for page in takewhile(bool, pages) for hit in page]
+
+
+def toc_hits(spark: SparkSession, path: str) -> DataFrame:
+    """(key, type, title, authors) of table-of-contents records, one JSON record a line; ``authors.author`` is one record or a list of them."""
+    raw = spark.read.schema("key string, info string").option("primitivesAsString", True).json(path)
+    name = T.StructType([T.StructField("text", T.StringType())])
+    get = lambda p: F.get_json_object("info", p)
+    df = raw.select("key", get("$.type").alias("type"), get("$.title").alias("title"), get("$.authors.author").alias("_a"))
+    return df.withColumn("authors", F.array_join(F.transform(F.coalesce(one_or_many("_a", name), F.array().cast("array<struct<text:string>>")), lambda a: X.clean_author(a["text"])), ", ")).drop("_a")
+
+
 def unwrap_value(raw: str):
     """Text of a JSON value that may be wrapped as ``{"value": x}``."""
     return F.coalesce(F.get_json_object(raw, "$.value"), F.get_json_object(raw, "$"), F.col(raw))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators.harvest import upsert
-from rankloom.sources.writers import replace_parquet
+from rankloom.sources.tables import Table
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int = 8) -> DataFrame:
@@ -23,15 +22,13 @@ def windowed_counts(events: DataFrame, ts: str = "ts", key: str = "event_type",
 
 
 def run_upsert(stream: DataFrame, target: str, checkpoint: str, keys: list[str], version: str) -> None:
-    """Works off what is there now, upserting each micro-batch into the Parquet table ``target``. A batch that runs twice changes nothing."""
+    """Works off what is there now, upserting each micro-batch into the table ``target``. A batch that runs twice changes nothing.
+
+    A target that can't be read stops the stream; only one that was never written counts as empty.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            base = spark.read.parquet(target)
-        except Exception:  # noqa: BLE001 - first batch: there is no table yet
-            base = batch.limit(0)
-        replace_parquet(upsert(base, batch, keys, version), target)
+        Table(batch.sparkSession, target, keys).upsert(batch, version)
 
     q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

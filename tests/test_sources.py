@@ -1,9 +1,12 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.sources import readers as R
 from rankloom.sources import writers as W
+from rankloom.sources.tables import Table
 from rankloom.streaming import ingest as I
 
 
@@ -21,7 +24,7 @@ def test_readers(spark, tmp_path):
         (tmp_path / p).mkdir(parents=True)
         (tmp_path / p / "metadata.jsonl").write_text('{"arxiv_id":"1","title":"a"}\n{"arxiv_id":"2","found":false}\n')
     assert R.domain_papers(spark, str(tmp_path), ["CS", "Bio"], [2020, 2021, 2022]).count() == 2
-    assert R.count_lines(spark, [str(tmp_path / "CS/2020")]) == 2 and not R.has_data(str(tmp_path), "Bio", [2020])
+    assert R.count_lines(spark, [str(tmp_path / "CS/2020")]) == 2 and not R.has_data(spark, str(tmp_path), "Bio", [2020])
 
 
 def test_markdown_and_xml(spark, tmp_path):
@@ -49,7 +52,76 @@ def test_writers_and_streams(spark, tmp_path):
     for _ in range(2):
         I.run_upsert(I.file_stream(spark, src, a), target, str(tmp_path / "ck"), ["k"], "v")
         spark.createDataFrame([("a", 3)], "k string, v int").write.mode("append").parquet(src)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [("a", 3), ("b", 1)]
+    assert sorted((r.k, r.v) for r in Table(spark, target).read().collect()) == [("a", 3), ("b", 1)]
     meta = spark.createDataFrame([("a", "new")], "k string, t string")
     ix = spark.createDataFrame([("a", [1.0])], "k string, embedding array<double>")
     assert W.refresh_metadata(ix, meta, "k").first().t == "new"
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_table_never_loses_its_rows(spark, tmp_path, monkeypatch):
+    kv = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    t = Table(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    t.upsert(spark.range(1000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(1).alias("v")), "v")
+    before = {b: f for b, f in t.state()["buckets"].items()}
+    t.upsert(kv(("k1", 5), ("k2", 0), (None, 1)), "v")
+    t.upsert(kv((None, 2)), "v")
+    got = dict(rows(t.read().filter("k is not null")))
+    assert len(got) == 1000 and got["k1"] == 5 and got["k2"] == 1 and t.read().filter("k is null").first().v == 2
+    assert sum(before[b] == f for b, f in t.state()["buckets"].items()) >= 1  # untouched buckets aren't rewritten
+    # a crash after the data and before the commit changes nothing
+    monkeypatch.setattr(Table, "_commit", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        t.upsert(kv(("k1", 9)), "v")
+    monkeypatch.undo()
+    assert dict(rows(t.read().filter("k is not null")))["k1"] == 5
+    # a replacement may read the table itself
+    t.replace(t.read().filter("k = 'k1'"))
+    assert rows(t.read()) == [("k1", 5)]
+    # a commit that can't be read stops the next upsert instead of starting from nothing
+    commits = sorted((tmp_path / "t/commits").glob("*.json"))
+    (tmp_path / "t/commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    commits[-1].write_text('{"broken')
+    with pytest.raises(ValueError):
+        t.upsert(kv(("k7", 1)), "v")
+    assert commits[-1].read_text() == '{"broken'
+
+
+def test_unreadable_target_stops_the_stream(spark, tmp_path):
+    src, target = str(tmp_path / "in"), tmp_path / "t"
+    a = spark.createDataFrame([("a", 1)], "k string, v int")
+    a.write.parquet(src)
+    I.run_upsert(I.file_stream(spark, src, a), str(target), str(tmp_path / "ck"), ["k"], "v")
+    for f in target.rglob("*.parquet"):
+        f.write_bytes(b"x" * 40)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    a.write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="(?i)parquet|foreachBatch|Py4J"):
+        I.run_upsert(I.file_stream(spark, src, a), str(target), str(tmp_path / "ck"), ["k"], "v")
+
+
+def test_index_keeps_other_domains_and_tsv_stays_in_lines(spark, tmp_path):
+    one = lambda d, v: spark.createDataFrame([(d, v)], "domain string, v int")
+    for d, v in (("A", 1), ("B", 2), ("A", 3)):
+        W.write_index(one(d, v), str(tmp_path / "ix"))
+    assert rows(spark.read.parquet(str(tmp_path / "ix")).select("domain", "v")) == [("A", 3), ("B", 2)]
+    df = spark.createDataFrame([("1", "a\tb\nc", "X"), ("1", "z", "X"), ("2", "t", None), (None, "n", "n")], "arxiv_id string, title string, first_author string")
+    W.append_new_tsv(df, df.limit(0), str(tmp_path / "tsv"))
+    W.append_new_tsv(df, R.title_index(spark, str(tmp_path / "tsv")), str(tmp_path / "tsv"))
+    assert rows(R.title_index(spark, str(tmp_path / "tsv")).select("arxiv_id", "title")) == [("1", "a b c"), ("2", "t")]
+
+
+def test_settings_and_table_of_contents(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("a:\n  b: 1\n  c: {d: x}\ne: [1, 2]\n")
+    nested = R.load_config(spark, str(tmp_path / "c.yaml"))
+    flat = R.flatten_config(nested)
+    assert flat == {"a.b": 1, "a.c.d": "x", "e": [1, 2]} and R.nest_config(flat) == nested and R.flatten_config({}) == R.nest_config({}) == {}
+    hits = [{"key": "k1", "info": {"type": "Conference", "title": "T.", "authors": {"author": {"text": "Ann Lee 0002"}}}}, {"key": "k2", "info": {"type": "Editorship", "title": "E", "authors": {"author": [{"text": "A"}, {"text": "B"}]}}}, {"key": "k3", "info": {"title": None}}]
+    (tmp_path / "toc.jsonl").write_text("\n".join(json.dumps(h) for h in hits))
+    assert sorted((r.key, r.type, r.title, r.authors) for r in R.toc_hits(spark, str(tmp_path / "toc.jsonl")).collect() if r.key != "k3") == [("k1", "Conference", "T.", "Ann Lee"), ("k2", "Editorship", "E", "A, B")]
+    assert R.numbered_volumes([[{"a": 1}], [], [{"a": 2}]]) == [{"a": 1}]
