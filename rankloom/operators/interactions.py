@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.session import cut
+from rankloom.session import cut, cut_counted
 
 U, I, TS, G = "user_id", "parent_asin", "ts_ms", ("category",)
 
@@ -37,18 +37,15 @@ def core_filter(df: DataFrame, k: int, user: str = U, item: str = I, group: Sequ
     """
     if k <= 1:
         return df
-    cur, n = cut(df), None
-    n = cur.count()
+    null_safe = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
+    cur, n = cut_counted(df)
     for _ in range(max_rounds):
         users = cur.groupBy(*group, user).count().filter(F.col("count") < k).drop("count")
         items = cur.groupBy(*group, item).count().filter(F.col("count") < k).drop("count")
-        null_safe = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
         nxt = cur.join(users, null_safe(cur, users, [*group, user]), "left_anti")
         nxt = nxt.join(items, null_safe(nxt, items, [*group, item]), "left_anti")
-        nxt = cut(nxt)
-        m = nxt.count()
-        cur, done = nxt, m == n
-        n = m
+        nxt, m = cut_counted(nxt)
+        done, cur, n = m == n, nxt, m
         if done or m == 0:
             return cur
     raise ValueError(f"no fixed point after {max_rounds} rounds")
@@ -123,19 +120,53 @@ def temporal_split(df: DataFrame, ratios: tuple[int, int, int] = (8, 1, 1), user
     return with_position(df, user, item, ts, group).withColumn("split", F.when(pos <= F.floor(n * a / s), "train").when(pos <= F.floor(n * (a + b) / s), "valid").otherwise("test")).drop("pos", "n")
 
 
+#: Times are looked at in steps of 2**40, 2**25 and 2**10 of their unit before single instants, so no task sorts more than 2**15 of them.
+_STEPS = (40, 25, 10, 0)
+
+
 def temporal_split_global(df: DataFrame, ratios: tuple[int, int, int] = (8, 1, 1), ts: str = TS, group: Sequence[str] = G) -> DataFrame:
-    """Split at two instants per group, so that all rows of one instant fall on the same side.
+    """Split at two instants per group, so that all rows of one instant fall on the same side. ``ts`` is an integer; null comes before all.
 
-    The instants come from a histogram of the time column (aggregated before the shuffle), not from sorting the rows.
+    The instants are found by counting: coarse steps of time first, then only the step that holds the instant, and so on. Neither rows
+    nor distinct instants are sorted as a whole, and what is joined back is one row per group.
     """
     a, b, c = ratios
-    hist = df.groupBy(*group, ts).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*group)
-    acc = hist.withColumn("upto", F.sum("m").over(w.orderBy(F.col(ts).asc_nulls_first()))).withColumn("total", F.sum("m").over(w))
-    keys = (*group, ts)
-    part = F.when(F.col("upto") * (a + b + c) <= F.col("total") * a, "train").when(F.col("upto") * (a + b + c) <= F.col("total") * (a + b), "valid").otherwise("test")
-    cuts = acc.select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], part.alias("split"))
-    return df.join(cuts, [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)]).drop(*[f"_k{i}" for i in range(len(keys))])
+    s, groups = a + b + c, list(group)
+    gk = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(*[F.col(g).alias(k) for g, k in zip(groups, gk, strict=True)], F.col(ts).cast("bigint").alias("_t"))
+    hist = cut(rows.groupBy(*gk, F.shiftright("_t", 10).alias("_s")).agg(F.count(F.lit(1)).alias("m")))
+    total = hist.groupBy(*gk).agg(F.sum("m").alias("total"), F.coalesce(F.sum(F.when(F.col("_s").isNull(), F.col("m"))), F.lit(0)).alias("base"))
+    # per group and cut: rows before the step in question, and that step; an instant is on the near side if rows up to it times s don't exceed total times the share
+    at = total.select(*gk, "total", "base", F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(r).alias("share")) for i, r in enumerate((a, a + b))])).alias("x")).select(*gk, "total", "base", "x.cut", "x.share")
+    at = at.withColumn("best", F.when(F.col("base") > 0, F.when(F.col("base") * s <= F.col("total") * F.col("share"), F.lit(-(2**63))).cast("bigint"))).withColumn("step", F.lit(None).cast("bigint"))
+    for i, bits in enumerate(_STEPS):
+        src = hist.filter("_s is not null") if bits else rows.filter("_t is not null").groupBy(*gk, "_t").agg(F.count(F.lit(1)).alias("m"))
+        fine = F.shiftright("_s", bits - 10) if bits else F.col("_t")
+        coarse = F.shiftright(fine, _STEPS[i - 1] - bits) if i else F.lit(None).cast("bigint")
+        steps = src.select(*gk, fine.alias("_f"), coarse.alias("_c"), "m")
+        if not bits:  # single instants of the steps in question only, counted before they are joined
+            want = at.select(*gk, F.col("step").alias("_c")).filter("_c is not null").distinct()
+            near = rows.withColumn("_c", F.shiftright("_t", _STEPS[i - 1]))
+            near = near.join(want.select(*[F.col(k).alias(f"w{k}") for k in gk], F.col("_c").alias("w_c")), [near[k].eqNullSafe(F.col(f"w{k}")) for k in gk] + [near["_c"] == F.col("w_c")], "left_semi")
+            steps = near.groupBy(*gk, F.col("_t").alias("_f"), "_c").agg(F.count(F.lit(1)).alias("m"))
+        steps = steps.groupBy(*gk, "_f", "_c").agg(F.sum("m").alias("m"))
+        names = [F.col(k).alias(f"h{k}") for k in gk]
+        h = steps.select(*names, "_f", "_c", "m")
+        j = at.join(h, [at[k].eqNullSafe(F.col(f"h{k}")) for k in gk] + ([at["step"] == h["_c"]] if i else []) or [F.lit(True)])
+        w = Window.partitionBy(*gk, "cut").orderBy("_f")
+        upto = F.col("base") + F.sum("m").over(w)
+        run = j.withColumn("upto", upto).withColumn("ok", F.col("upto") * s <= F.col("total") * F.col("share"))
+        # the last step that is wholly on the near side, and the first that isn't, in which the instant lies
+        got = run.groupBy(*gk, "cut").agg(
+            F.max(F.when(F.col("ok"), F.struct("_f", "upto"))).alias("in_"), F.min(F.when(~F.col("ok"), F.col("_f"))).alias("out_")
+        ).select(*[F.col(k).alias(f"r{k}") for k in gk], F.col("cut").alias("rcut"), "in_", "out_")
+        ends = F.shiftleft(F.col("in_._f") + 1, bits) - 1 if bits else F.col("in_._f")  # last instant of that step
+        at = at.join(got, [at[k].eqNullSafe(F.col(f"r{k}")) for k in gk] + [at["cut"] == F.col("rcut")], "left")
+        at = cut(at.select(*gk, "total", F.coalesce("in_.upto", "base").alias("base"), "cut", "share", F.coalesce(ends, "best").alias("best"), F.col("out_").alias("step")))
+    cuts = at.groupBy(*gk).agg(F.max(F.when(F.col("cut") == 0, F.col("best"))).alias("_b0"), F.max(F.when(F.col("cut") == 1, F.col("best"))).alias("_b1"))
+    t = F.coalesce(F.col(ts).cast("bigint"), F.lit(-(2**63)).cast("bigint"))
+    part = F.when(t <= F.col("_b0"), "train").when(t <= F.col("_b1"), "valid").otherwise("test")
+    return df.join(cuts, [df[g].eqNullSafe(F.col(k)) for g, k in zip(groups, gk, strict=True)] or [F.lit(True)]).withColumn("split", part).drop(*gk, "_b0", "_b1")
 
 
 def semi_items(meta: DataFrame, inter: DataFrame, item: str = I) -> DataFrame:

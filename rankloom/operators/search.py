@@ -1,14 +1,14 @@
 """Vector search: recall by cosine, re-ranking, final order; pluggable encoders.
 
-The corpus side is never collected or broadcast. Queries are a bounded set: it is collected only after its size was
-checked, and beyond the bound it is worked off in blocks.
+Neither side is collected. Both are packed into rows that hold a block of vectors each; every pair of blocks is one row of a join
+in blocks, of which each query keeps its best k before anything is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries per block; a block of 64-dimensional doubles is about half a megabyte.
-BLOCK = 1024
+#: Queries and index rows per packed row; of 64-dimensional doubles a quarter and a whole megabyte.
+BLOCK, PACK = 512, 2048
 
 
 def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -30,53 +30,76 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def cosine_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", emb_col: str = "embedding", query_id: str = "query_id", exclude_self: bool = False) -> DataFrame:
+def _packed(df: DataFrame, cols: list[str], emb_col: str, size: int, prefix: str) -> DataFrame:
+    """Blocks of at most ``size`` rows: arrays of the columns, the vectors as one binary matrix of doubles, their length. Null and empty vectors are left out."""
+    fields = [T.StructField(f"{prefix}{i}", T.ArrayType(df.schema[c].dataType)) for i, c in enumerate(cols)]
+    schema = T.StructType([*fields, T.StructField(f"{prefix}m", T.BinaryType()), T.StructField(f"{prefix}dim", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(len(cols)).value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                for lo in range(0, len(at), size):
+                    part = b.take(pa.array(at[lo : lo + size]))
+                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in range(len(cols))]
+                    m = _matrix(part.column(len(cols)))
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([m.tobytes()], pa.binary()), pa.array([int(d)], pa.int32())], names=schema.names)
+
+    return df.filter(F.size(emb_col) > 0).select(*cols, emb_col).mapInArrow(run, schema)
+
+
+def cosine_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", emb_col: str = "embedding", query_id: str = "query_id", exclude_self: bool = False, per: str | None = None) -> DataFrame:
     """The ``k`` index rows nearest to each query by dot product of unit vectors, ties by id: (query_id, id, score, rank).
 
-    Null vectors and vectors of another length than the queries are left out. ``queries`` has ``query_id`` and ``emb_col``.
-    Each Arrow batch keeps only its own best k per query (all that tie at the k-th place and could still win by id are
-    decided by id), so what is shuffled is k rows per query and batch, not the product.
+    Null vectors are left out; a query meets vectors of its own length only. ``queries`` has ``query_id`` and ``emb_col``. ``per`` names a
+    column of the index for each of whose values every query gets its own ``k`` rows (null is a value of its own); it comes out as well.
+    Of each pair of blocks only the best k per query (and value) leave the task, so what is shuffled is not the product.
     """
-    spark = index.sparkSession
-    rows = queries.filter(F.col(emb_col).isNotNull()).select(query_id, emb_col)
-    n = rows.count()
-    out = None
-    id_type = index.schema[id_col].dataType
-    q_type = queries.schema[query_id].dataType
-    schema = T.StructType([T.StructField(query_id, q_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
-    numbered = rows if n <= BLOCK else rows.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(-(-n // BLOCK) + 1)))
-    for b in range(1 if n <= BLOCK else -(-n // BLOCK) + 1):
-        block = (numbered if n <= BLOCK else numbered.filter(F.col("_b") == b)).select(query_id, emb_col).toPandas()
-        if block.empty:
-            continue
-        bc = spark.sparkContext.broadcast((block[query_id].to_numpy(), np.asarray(block[emb_col].tolist(), dtype=np.float64)))
-
-        def score(batches: Iterator[pa.RecordBatch], bc=bc, k=k) -> Iterator[pa.RecordBatch]:
-            ids, q = bc.value
-            for batch in batches:
-                if batch.num_rows == 0:
+    by = [per] if per else []
+    ix = _packed(index, [id_col, *by], emb_col, PACK, "_i")
+    qs = _packed(queries, [query_id], emb_col, BLOCK, "_q")
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id_col, index.schema[id_col].dataType), *[index.schema[c] for c in by], T.StructField("score", T.DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                dim = col["_idim"][r].as_py()
+                if dim != col["_qdim"][r].as_py():
                     continue
-                own, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+                own, ids = col["_i0"][r].values, col["_q0"][r].values
+                m = np.frombuffer(col["_im"][r].as_buffer(), dtype=np.float64).reshape(-1, dim)
+                q = np.frombuffer(col["_qm"][r].as_buffer(), dtype=np.float64).reshape(-1, dim)
                 s = q @ m.T
-                qs, cs = [], []
-                for r in range(len(ids)):
-                    row = s[r].copy()
-                    if exclude_self:
-                        row[own == ids[r]] = -np.inf
-                    at = np.arange(len(own)) if len(own) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
-                    at = at[np.lexsort((own[at], -row[at]))][:k]
-                    at = at[np.isfinite(row[at])]
-                    qs.append(np.full(len(at), r))
-                    cs.append(at)
-                qs, cs = np.concatenate(qs), np.concatenate(cs)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[qs]), pa.array(own[cs]), pa.array(s[qs, cs])], names=[query_id, id_col, "score"])
-
-        dim = len(block[emb_col].iloc[0])
-        part = index.filter(F.size(emb_col) == dim).select(id_col, emb_col).mapInArrow(score, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.col(id_col))
+                own_np, ids_np = own.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+                if exclude_self:
+                    s[ids_np[:, None] == own_np[None, :]] = -np.inf
+                groups = [np.arange(len(own_np))]
+                if per:
+                    codes = np.asarray(col["_i1"][r].values.dictionary_encode(null_encoding="encode").indices)
+                    groups = [np.flatnonzero(codes == c) for c in np.unique(codes)]
+                rows, cols = [], []
+                for g in groups:
+                    part = s[:, g]
+                    if len(g) > k:  # all that tie at the k-th place stay until ids decide
+                        least = np.partition(part, -k, axis=1)[:, -k]
+                        x, y = np.nonzero(part >= least[:, None])
+                    else:
+                        x, y = (v.ravel() for v in np.indices(part.shape))
+                    y = g[y]
+                    order = np.lexsort((own_np[y], -s[x, y], x))
+                    x, y = x[order], y[order]
+                    first = np.searchsorted(x, x)  # position of the query's first row
+                    keep = (np.arange(len(x)) - first < k) & np.isfinite(s[x, y])
+                    rows.append(x[keep])
+                    cols.append(y[keep])
+                x, y = np.concatenate(rows), np.concatenate(cols)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), own.take(pa.array(y)), *([col["_i1"][r].values.take(pa.array(y))] if per else []), pa.array(s[x, y])], names=schema.names)
+
+    # a stated set of queries against all rows, block by block
+    out = ix.crossJoin(qs).mapInArrow(score, schema)
+    w = Window.partitionBy(query_id, *by).orderBy(F.desc("score"), F.col(id_col))
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -132,6 +155,14 @@ def overlap_score(query: pd.Series, doc: pd.Series) -> pd.Series:
     return pd.Series([one(q, d) for q, d in zip(query, doc, strict=True)], dtype="float64")
 
 
+def eligible(index: DataFrame, domain: str | None = None, years: Sequence[int] | None = None, domains: Sequence[str] = (), year_col: str = "pub_year", domain_col: str = "domain") -> DataFrame:
+    """Index rows of one domain (none means all; one that isn't among ``domains`` raises) and of the years (an empty list means all)."""
+    if domain is not None and domains and domain not in domains:
+        raise ValueError(f"unknown domain: {domain}")
+    out = index if domain is None else index.filter(F.col(domain_col) == domain)
+    return out.filter(F.col(year_col).isin(list(years))) if years else out
+
+
 class SearchEngine:
     """Two-stage search over an index of (id, text, embedding, filters): recall, re-rank, order."""
 
@@ -141,14 +172,8 @@ class SearchEngine:
 
     def search(self, query: str, domain: str | None = None, years: list[int] | None = None, sort_by: str = "relevance", rerank_k: int | None = None, recall_k: int | None = None) -> DataFrame:
         """Results as rows with ``rank``; an unknown domain raises, an empty list of years means all, a blank query gives no rows."""
-        if domain is not None and self.domains and domain not in self.domains:
-            raise ValueError(f"unknown domain: {domain}")
         pool, k = pool_sizes(rerank_k, recall_k)
-        docs = self.index
-        if domain is not None:
-            docs = docs.filter(F.col(self.domain_col) == domain)
-        if years:
-            docs = docs.filter(F.col(self.year_col).isin(years))
+        docs = eligible(self.index, domain, years, self.domains, self.year_col, self.domain_col)
         if not query.strip():
             docs = docs.filter(F.lit(False))
         q = docs.sparkSession.createDataFrame([(0, self.encoder(pd.Series([query]))[0].tolist())], "query_id int, embedding array<double>")

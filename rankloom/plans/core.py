@@ -450,10 +450,12 @@ def cosine_topk(spark, d):
     return _topk(e, e.filter("vec_id = 0"), 100)
 
 
-@query(_topk_sql("e.label IN (1, 2, 3)", "q.vec_id = 0", 15))
+@query(_topk_sql("e.label IN (1, 2, 3)", "q.vec_id % 20 = 0", 15))
 def cosine_topk_filtered(spark, d):
-    e = table(spark, d, "embeddings")
-    return _topk(e.filter(F.col("label").isin(1, 2, 3)), e.filter("vec_id = 0"), 15)
+    """Domain and year filters narrow the index before it is searched."""
+    e = table(spark, d, "embeddings").withColumn("domain", F.lit("vectors"))
+    ix = S.eligible(e, domain="vectors", years=[1, 2, 3], domains=("vectors",), year_col="label")
+    return _topk(ix, e.filter("vec_id % 20 = 0"), 15)
 
 
 @query(_topk_sql("true", "q.vec_id % 20 = 0", 10))
@@ -463,13 +465,11 @@ def batch_topk(spark, d):
     return _topk(e, e.filter("vec_id % 20 = 0"), 10)
 
 
-@query(f"""SELECT label, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY list_dot_product({_E.format('q')}, {_E.format('e')}) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id = 0) WHERE rank <= 5""")
+@query(f"""SELECT query_id, label, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY list_dot_product({_E.format('q')}, {_E.format('e')}) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 5""")
 def batch_topk_per_label(spark, d):
+    """For every vector whose id is divisible by 20 the five nearest of each label."""
     e = table(spark, d, "embeddings")
-    q = V.dot(F.col("e0"), F.col("embedding"))
-    one = e.filter("vec_id = 0").select(F.col("embedding").alias("e0")).limit(1)
-    w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    return e.crossJoin(F.broadcast(one)).withColumn("score", q).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("label", "vec_id", "rank")
+    return S.cosine_topk(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, per="label").select("query_id", "label", "vec_id", "rank")
 
 
 @query(f"""SELECT vec_id, citations, row_number() OVER (ORDER BY citations DESC, rel) AS rank FROM (SELECT *, (vec_id * 37) % 11 AS citations FROM (SELECT vec_id, rank AS rel FROM ({_topk_sql('true', 'q.vec_id = 0', 15)})))""")

@@ -48,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted by the tasks that write them."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per Spark context, so that workers can import it wherever they run."""
     sc = spark.sparkContext
