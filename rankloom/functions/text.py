@@ -323,3 +323,36 @@ def user_bin(x: Column | str, bins: int = 1_000_000) -> Column:
 def join_names(x: Column | str) -> Column:
     """Array of structs with a ``name`` as text joined by ``"; "``."""
     return F.array_join(F.transform(_c(x), lambda a: F.coalesce(a["name"], F.lit(""))), "; ")
+
+
+def arxiv_key(x: Column | str) -> Column:
+    """Identifier without its version, of which only a trailing ``vN`` is one: ``solv-int/9901001v2`` keeps its archive's name."""
+    return F.regexp_replace(_c(x), r"v\d+$", "")
+
+
+def query_prompt(task: Column | str, query: Column | str) -> Column:
+    """What an instructed encoder is given for a query."""
+    return F.concat(F.lit("Instruct: "), text_or_empty(task), F.lit("\nQuery:"), text_or_empty(query))
+
+
+def pair_prompt(task: Column | str, query: Column | str, doc: Column | str) -> Column:
+    """What an instructed scorer is given for a pair."""
+    return F.concat(F.lit("<Instruct>: "), text_or_empty(task), F.lit("\n<Query>: "), text_or_empty(query), F.lit("\n<Document>: "), text_or_empty(doc))
+
+
+def render_match(title_sim: Column | str, candidates: Column | str) -> Column:
+    """Text of a match result: the title similarity, then a table row per candidate (struct of rerank, recall, arxiv_id, title, surname) in their order.
+
+    Scores have three decimals, titles at most 70 characters.
+    """
+    three = lambda c: F.format_string("%.3f", F.coalesce(c.cast("double"), F.lit(0.0)))
+    row = lambda c, i: F.concat_ws(" | ", F.concat(F.lit("| "), (i + 1).cast("string")), three(c["rerank"]), three(c["recall"]), F.concat(F.lit("`"), text_or_empty(c["arxiv_id"]), F.lit("`")), short_title(c["title"], 70), F.concat(text_or_empty(c["surname"]), F.lit(" |")))
+    return F.concat_ws("\n", F.concat(F.lit("title_sim "), three(_c(title_sim))), F.array_join(F.transform(_c(candidates), row), "\n"))
+
+
+def parse_match(x: Column | str) -> Column:
+    """Struct (title_sim, rerank, arxiv_id, surname) of a rendered match result, its first candidate; zeros, null and the empty text where it has none."""
+    x = text_or_empty(x)
+    top = r"(?m)^\|\s*1\s*\|\s*([\d.]+)\s*\|\s*[\d.]+\s*\|\s*`([^`]+)`\s*\|[^|\n]*\|[ \t]*([^|\n]*?)[ \t]*\|"
+    num = lambda p: F.coalesce(F.regexp_extract(x, p, 1).try_cast("double"), F.lit(0.0))
+    return F.struct(num(r"title_sim\s+([\d.]+)").alias("title_sim"), num(top).alias("rerank"), F.nullif(F.regexp_extract(x, top, 2), F.lit("")).alias("arxiv_id"), F.regexp_extract(x, top, 3).alias("surname"))

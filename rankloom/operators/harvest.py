@@ -85,3 +85,45 @@ def flatten_record(df: DataFrame) -> DataFrame:
         "arxiv_id", F.col("rec.corpusId").alias("corpusId"), F.col("rec.title").alias("title"), X.join_names("rec.authors").alias("authors"), F.col("rec.year").alias("year"),
         F.array_join(F.col("rec.fieldsOfStudy"), "; ").alias("fieldsOfStudy"), F.col("rec").isNotNull().alias("found"),
     )
+
+
+def batch_results(ids: DataFrame, results: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """Every asked identifier with its record: the aligned answer of a lookup. Identifiers without a record come out with ``found = false``, null ones not at all.
+
+    ``results``: (key, rec). Records are matched by key, not by place, so that lost or repeated answers can't shift the others.
+    """
+    asked = ids.select(key).filter(F.col(key).isNotNull()).distinct()
+    one = results.filter(F.col("rec").isNotNull()).groupBy(key).agg(F.min("rec").alias("rec"))
+    return asked.join(one, key, "left").withColumn("found", F.col("rec").isNotNull())
+
+
+def main_records(df: DataFrame, kind: str = "type", title: str = "title") -> DataFrame:
+    """Rows that are papers: front matter (``Editorship``) and rows without a title go."""
+    return df.filter(~F.col(kind).eqNullSafe("Editorship") & (X.strip(X.text_or_empty(title)) != ""))
+
+
+def needs_link(df: DataFrame, url: str = "arxiv_url", ident: str = "arxiv_id") -> DataFrame:
+    """Rows with neither an address nor an identifier; null and the empty text are none."""
+    return df.filter((X.text_or_empty(url) == "") & (X.text_or_empty(ident) == ""))
+
+
+def venue_years(df: DataFrame, venues: Sequence[str] = (), years: Sequence[int | str] = (), col: str = "venue_short") -> DataFrame:
+    """Rows of the venues and years, by names such as ``KDD2016``; an empty list means all."""
+    name = F.col(col)
+    out = df.filter(F.regexp_extract(name, r"^(.*?)\d{4}$", 1).isin(list(venues))) if venues else df
+    return out.filter(F.regexp_extract(name, r"(\d{4})$", 1).isin([str(y) for y in years])) if years else out
+
+
+def distinct_counts(df: DataFrame, *cols: str) -> DataFrame:
+    """One row: rows, and distinct values (nulls don't count) of each column."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.countDistinct(c).alias(f"n_{c}") for c in cols])
+
+
+def newest_ids(df: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """Rows from the largest identifier text to the smallest, a range-partitioned sort."""
+    return df.orderBy(F.col(key).desc_nulls_last(), *[c for c in df.columns if c != key])
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in a stated order, for trial runs."""
+    return df.orderBy(*order).limit(n)

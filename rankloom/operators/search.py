@@ -155,6 +155,25 @@ def overlap_score(query: pd.Series, doc: pd.Series) -> pd.Series:
     return pd.Series([one(q, d) for q, d in zip(query, doc, strict=True)], dtype="float64")
 
 
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", words: str = "words", query_id: str = "query_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` documents with the highest BM25 score for each query, ties by id: (query_id, id, score, rank).
+
+    ``docs``: (id, words), ``queries``: (query_id, words), both arrays of words. Documents without a word of the query don't come out. Only
+    the postings of words that queries ask for are joined; a query's word counts once.
+    """
+    n = docs.select(id_col, F.size(words).alias("len")).filter(F.col("len") > 0)
+    total = n.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
+    asked = queries.select(query_id, F.explode(F.array_distinct(words)).alias("word"))
+    post = docs.select(id_col, F.size(words).alias("len"), F.explode(words).alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy(id_col, "len", "word").agg(F.count(F.lit(1)).alias("tf"))
+    df = post.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    weighed = post.join(df, "word").crossJoin(total).select(id_col, "word", (idf * norm).alias("s"))
+    scored = asked.join(weighed, "word").groupBy(query_id, id_col).agg(F.sum("s").alias("score"))
+    w = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), F.col(id_col))  # sums of one set of terms may differ in the last digits
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def eligible(index: DataFrame, domain: str | None = None, years: Sequence[int] | None = None, domains: Sequence[str] = (), year_col: str = "pub_year", domain_col: str = "domain") -> DataFrame:
     """Index rows of one domain (none means all; one that isn't among ``domains`` raises) and of the years (an empty list means all)."""
     if domain is not None and domains and domain not in domains:

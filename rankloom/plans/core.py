@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -189,11 +188,10 @@ def full_rank_metrics(spark, d):
     return N.ranking_metrics(test.join(pop, ["category", "parent_asin"], "left"), by=("category",))
 
 
-@query("SELECT * FROM (VALUES (1, 0.5::DOUBLE, 0.346713::DOUBLE, 0.3::DOUBLE, 0.75::DOUBLE, 0.425579::DOUBLE, 0.33125::DOUBLE)) v(one, recall_5, ndcg_5, mrr_5, recall_10, ndcg_10, mrr_10)")
+@query("SELECT domain, avg(CASE WHEN r >= 0 AND r < 5 THEN 1.0 ELSE 0.0 END) AS recall_5, avg(CASE WHEN r >= 0 AND r < 5 THEN 1.0 / log2(r + 2) ELSE 0.0 END) AS ndcg_5, avg(CASE WHEN r >= 0 AND r < 5 THEN 1.0 / (r + 1) ELSE 0.0 END) AS mrr_5, avg(CASE WHEN r >= 0 AND r < 10 THEN 1.0 ELSE 0.0 END) AS recall_10, avg(CASE WHEN r >= 0 AND r < 10 THEN 1.0 / log2(r + 2) ELSE 0.0 END) AS ndcg_10, avg(CASE WHEN r >= 0 AND r < 10 THEN 1.0 / (r + 1) ELSE 0.0 END) AS mrr_10 FROM (SELECT domain, citation_count % 15 - 1 AS r FROM arxiv_paper) GROUP BY domain")
 def recall_ndcg_mrr(spark, d):
-    ranks = spark.createDataFrame([(0,), (4,), (7,), (-1,)], "rank0 int")
-    m = N.ranking_metrics(ranks)
-    return m.select(F.lit(1).alias("one"), *[F.round(c, 6).alias(c) for c in m.columns])
+    """Metrics of ranks from -1 (a miss) and null to 13, by domain."""
+    return N.ranking_metrics(table(spark, d, "arxiv_paper").select("domain", (F.col("citation_count") % 15 - 1).alias("rank0")), by=("domain",))
 
 
 @query(f"""SELECT category, user_id, parent_asin, array_to_string(list_concat([CASE WHEN true THEN '0' END for x in range(10 - len(h))], h), ' ') AS padded FROM (SELECT category, user_id, parent_asin, pos, n,
@@ -220,7 +218,31 @@ def title_normalize(spark, d):
     return table(spark, d, "corpus_entry").select("arxiv_id", "title", X.normalize_title("title").alias("title_key"), X.normalize_text("title").alias("plain"))
 
 
-@query()
+def _each_char(x: str, case: str) -> str:
+    return f"array_to_string([{case} FOR c IN string_split({x}, '')], '')"
+
+
+def unlatex_sql(x: str) -> str:
+    for _ in range(3):
+        x = rf"regexp_replace({x}, '\\[a-zA-Z]+\s*" + r"\{([^{}]*)\}', '\1', 'g')"
+    return rf"regexp_replace({x}, '\\([a-zA-Z]+)', '\1', 'g')"
+
+
+def unmarked_sql(x: str) -> str:
+    """Compatibility decomposition without marks, as far as titles and names need it: DuckDB strips accents but has no NFKD. The grapheme joiner (847) is a mark without a combining class, so it stays and separates."""
+    wide = "CASE WHEN ord(c) = 847 THEN ' ' WHEN ord(c) BETWEEN 65281 AND 65374 THEN chr(ord(c) - 65248) WHEN c = 'ﬀ' THEN 'ff' WHEN c = 'ﬁ' THEN 'fi' WHEN c = 'ﬂ' THEN 'fl' WHEN c = 'ﬃ' THEN 'ffi' WHEN c = 'ﬄ' THEN 'ffl' ELSE c END"
+    return f"strip_accents({_each_char(x, wide)})"
+
+
+def greek_sql(x: str) -> str:
+    return _each_char(f"coalesce({x}, '')", "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.GREEK.items()) + " ELSE c END")
+
+
+def translit_sql(x: str) -> str:
+    return NT.format(unlatex_sql(unmarked_sql(greek_sql(x))))
+
+
+@query(f"SELECT arxiv_id, title, {translit_sql('title')} AS title_key FROM corpus_entry")
 def norm_translit(spark, d):
     return table(spark, d, "corpus_entry").select("arxiv_id", "title", X.norm_title("title").alias("title_key"))
 
@@ -237,12 +259,12 @@ def author_names(spark, d):
  row_number() OVER (ORDER BY CASE WHEN regexp_matches(arxiv_id, '^\d{4}\.\d+$') THEN 2000 + CAST(substr(arxiv_id, 1, 2) AS INT) WHEN CAST(regexp_extract(arxiv_id, '/(\d{2})', 1) AS INT) >= 91 THEN 1900 + CAST(regexp_extract(arxiv_id, '/(\d{2})', 1) AS INT) ELSE 2000 + CAST(regexp_extract(arxiv_id, '/(\d{2})', 1) AS INT) END DESC,
   CASE WHEN regexp_matches(arxiv_id, '^\d{4}\.\d+$') THEN CAST(substr(arxiv_id, 3, 2) AS INT) ELSE CAST(regexp_extract(arxiv_id, '/\d{2}(\d{2})', 1) AS INT) END DESC,
   CASE WHEN regexp_matches(arxiv_id, '^\d{4}\.\d+$') THEN CAST(split_part(arxiv_id, '.', 2) AS BIGINT) ELSE CAST(regexp_extract(arxiv_id, '/\d{4}(\d+)', 1) AS BIGINT) END DESC, arxiv_id) AS newest_rank
-FROM (SELECT DISTINCT arxiv_id FROM corpus_entry WHERE arxiv_id IS NOT NULL) ORDER BY newest_rank LIMIT 100""")
+FROM (SELECT DISTINCT arxiv_id FROM corpus_entry WHERE arxiv_id IS NOT NULL)""")
 def arxiv_id_fields(spark, d):
-    """The newest 100 identifiers, a top-k report in load order."""
+    """Every identifier with its parts and its place from the newest on."""
     ids = table(spark, d, "corpus_entry").select("arxiv_id").filter("arxiv_id is not null").distinct()
-    top = ids.withColumn("_k", X.chrono_key("arxiv_id")).orderBy(F.desc("_k"), "arxiv_id").limit(100)
-    return top.select("arxiv_id", X.extract_arxiv_id("arxiv_id").alias("found"), X.year_of("arxiv_id").alias("id_year"), F.row_number().over(Window.orderBy(F.desc("_k"), "arxiv_id")).alias("newest_rank"))
+    ids = M.numbered(ids.withColumn("_k", X.chrono_key("arxiv_id")).withColumn("_o", F.struct(-F.col("_k.year"), -F.col("_k.month"), -F.col("_k.seq"), "arxiv_id")), ["_o"], "newest_rank")
+    return ids.select("arxiv_id", X.extract_arxiv_id("arxiv_id").alias("found"), X.year_of("arxiv_id").alias("id_year"), (F.col("newest_rank") + 1).alias("newest_rank"))
 
 
 @query(r"""SELECT arxiv_id, fetched_at, coalesce(nullif(regexp_replace(regexp_replace(trim(split_part(coalesce(domain, ''), ';', 1)), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'Unknown') AS subject FROM arxiv_paper""")
@@ -267,10 +289,16 @@ def venue_extract(spark, d):
     return table(spark, d, "accepted_paper").select("pages", "decision").distinct().withColumn("venue_text", X.extract_venue("decision", "pages"))
 
 
-@query("SELECT paper_id, pub_year, coalesce(try_cast(pub_year AS BIGINT), 0) AS n_year, coalesce(try_cast(split_part(title, ' ', 1) AS BIGINT), -1) AS n_title FROM paper WHERE NOT regexp_matches(coalesce(split_part(title, ' ', 1), ''), '^[0-9.eE+-]*[.eE][0-9.eE+-]*$')")
+_INT = r"CASE WHEN regexp_full_match({0}, '\s*[+-]?\d{{1,18}}\s*') THEN CAST(trim({0}) AS BIGINT) END"
+_NUMBERS = "SELECT paper_key, run_at, CAST(round(title_sim, 4) AS VARCHAR) AS dec, paper_key[-4:] AS hex, CAST(CAST(floor(title_sim * 100) AS BIGINT) AS VARCHAR) AS whole, title_sim FROM match_result"
+
+
+@query(f"SELECT paper_key, run_at, coalesce({_INT.format('dec')}, -1) AS n_dec, coalesce({_INT.format('hex')}, -1) AS n_hex, coalesce({_INT.format('whole')}, -1) AS n_whole, coalesce(CAST(trunc(title_sim * 100) AS BIGINT), -1) AS n_float FROM ({_NUMBERS})")
 def to_int_cast(spark, d):
-    p = table(spark, d, "paper").filter(~X.text_or_empty(F.split_part("title", F.lit(" "), F.lit(1))).rlike(r"^[0-9.eE+-]*[.eE][0-9.eE+-]*$"))
-    return p.select("paper_id", "pub_year", X.to_int("pub_year").alias("n_year"), X.to_int(F.split_part("title", F.lit(" "), F.lit(1)), -1).alias("n_title"))
+    """Integers of decimal text, of text that is partly a number or an exponent, of integer text and of numbers."""
+    r = table(spark, d, "match_result")
+    t = lambda c: X.to_int(c, -1)
+    return r.select("paper_key", "run_at", t(F.round("title_sim", 4).cast("string")).alias("n_dec"), t(F.expr("right(paper_key, 4)")).alias("n_hex"), t(F.floor(F.col("title_sim") * 100).cast("string")).alias("n_whole"), t(F.col("title_sim") * 100).alias("n_float"))
 
 
 @query(r"""SELECT arxiv_id, fetched_at, md5(regexp_replace(CASE WHEN coalesce(abstract, '') <> '' THEN coalesce(title, '') || chr(10) || chr(10) || abstract ELSE coalesce(title, '') END, '^[\s\p{Z}\x{85}\x1c-\x1f]+|[\s\p{Z}\x{85}\x1c-\x1f]+$', '', 'g')) AS digest FROM arxiv_paper WHERE coalesce(title, '') <> '' OR coalesce(abstract, '') <> ''""")
@@ -279,24 +307,48 @@ def index_texts(spark, d):
     return a.select("arxiv_id", "fetched_at", F.md5(X.index_text("title", "abstract")).alias("digest"))
 
 
-@query(r"""SELECT paper_id, regexp_extract(stem, '^([^_]+)_([^_]+)_(\d{8})_', 3)[1:4] AS year, lower(regexp_extract(stem, '^([^_]+)_([^_]+)_(\d{8})_', 2)) = 'arxiv' AS preprint, CASE WHEN contains(paper_id, '/') THEN split_part(paper_id, '/', 1) ELSE 'Unknown' END AS company FROM (SELECT paper_id, string_split(paper_id, '/')[-1] AS stem FROM paper)""")
+_DISPLAY = "CASE token " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.VENUE_DISPLAY.items()) + " ELSE upper(token) END"
+
+
+@query(rf"""SELECT paper_id, {_DISPLAY} AS venue, dd[1:4] AS year, CASE WHEN dd <> '' THEN dd[1:4] || '-' || dd[5:6] || '-' || dd[7:8] ELSE '' END AS pub_date, token = 'arxiv' AS preprint, company FROM (SELECT paper_id, lower(regexp_extract(stem, '^([^_]+)_([^_]+)_(\d{{8}})_', 2)) AS token,
+ regexp_extract(stem, '^([^_]+)_([^_]+)_(\d{{8}})_', 3) AS dd, CASE WHEN contains(paper_id, '/') THEN split_part(paper_id, '/', 1) ELSE 'Unknown' END AS company FROM (SELECT paper_id, string_split(paper_id, '/')[-1] AS stem FROM paper))""")
 def paper_filenames(spark, d):
     parts = F.split("paper_id", "/")
     m = X.filename_meta(F.element_at(parts, -1))
-    return table(spark, d, "paper").select("paper_id", m["pub_year"].alias("year"), m["is_preprint"].alias("preprint"), F.when(F.size(parts) > 1, parts[0]).otherwise("Unknown").alias("company"))
+    return table(spark, d, "paper").select("paper_id", m["venue"].alias("venue"), m["pub_year"].alias("year"), m["pub_date"].alias("pub_date"), m["is_preprint"].alias("preprint"), F.when(F.size(parts) > 1, parts[0]).otherwise("Unknown").alias("company"))
 
 
-@query()
+_BLANKS = r"[\s\x0b\p{Z}\x{85}\x1c-\x1f]"
+
+
+def stripped_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+
+
+def sections_sql(keep: str, source: str) -> str:
+    """Rows (keep..., section_no, name, body) of the sections of ``source``, which has a column ``content``."""
+    unquoted = stripped_sql("replace(n, chr(8217), chr(39))")
+    name = rf"lower(regexp_replace(regexp_replace({unquoted}, '\.+$', ''), '{_BLANKS}+', ' ', 'g'))"
+    return rf"""SELECT {keep}, unnest(range(len(names))) AS section_no, unnest(list_transform(names, lambda n: {name})) AS name, unnest(list_transform(bodies[2:], lambda b: {stripped_sql('b')})) AS body
+ FROM (SELECT *, regexp_extract_all(c, '{X.SECTION_HEAD}', 1) AS names, string_split(regexp_replace(c, '{X.SECTION_HEAD}', chr(1), 'g'), chr(1)) AS bodies FROM (SELECT *, replace(coalesce(content, ''), chr(1), '') AS c FROM {source}))"""
+
+
+@query(f"SELECT paper_id, section_no, name, length(body) AS n_chars FROM ({sections_sql('paper_id', 'paper')})")
 def section_extract(spark, d):
     """(paper_id, section_no, name, n_chars) of every section that a heading opens."""
     s = table(spark, d, "paper").select("paper_id", F.posexplode(X.extract_sections("content")).alias("section_no", "s"))
     return s.select("paper_id", "section_no", F.col("s.name").alias("name"), F.length("s.body").alias("n_chars"))
 
 
-@query()
+_CONTENT = "coalesce(content, '')"
+WANTED = ["Research problem and importance", "Core intuition", "Method and full pipeline", "Experimental setup and results"]
+
+
+@query(f"""WITH p AS (SELECT row_number() OVER () AS rid, * FROM paper), s AS ({sections_sql('rid', 'p')}),
+k AS (SELECT rid, string_agg(body, chr(10) || chr(10) ORDER BY section_no) AS body FROM s WHERE name IN ({', '.join(f"'{w.lower()}'" for w in WANTED)}) AND body <> '' GROUP BY rid)
+SELECT paper_id, md5({stripped_sql(f"coalesce(title, '') || chr(10) || chr(10) || coalesce(nullif({stripped_sql('k.body')}, ''), {stripped_sql(_CONTENT)})")}) AS digest FROM p LEFT JOIN k USING (rid)""")
 def section_select(spark, d):
-    wanted = ["Research problem and importance", "Core intuition", "Method and full pipeline", "Experimental setup and results"]
-    return table(spark, d, "paper").select("paper_id", F.md5(X.select_sections_text("title", "content", wanted)).alias("digest"))
+    return table(spark, d, "paper").select("paper_id", F.md5(X.select_sections_text("title", "content", WANTED)).alias("digest"))
 
 
 @query("SELECT paper_id, CASE WHEN length(t) <= 40 THEN t ELSE rtrim(t[1:39]) || '…' END AS label FROM (SELECT paper_id, trim(coalesce(title, '')) AS t FROM paper)")
@@ -362,7 +414,7 @@ def venue_filtered(spark, d):
 
 @query("SELECT arxiv_id, publication_date, fetched_at FROM arxiv_paper WHERE publication_date >= '2024-06-01'")
 def since_date(spark, d):
-    return H.since(table(spark, d, "arxiv_paper"), "publication_date", days=30, start=datetime.date(2024, 6, 1)).select("arxiv_id", "publication_date", "fetched_at")
+    return H.since(table(spark, d, "arxiv_paper"), "publication_date", days=30, today=datetime.date(2024, 7, 1)).select("arxiv_id", "publication_date", "fetched_at")
 
 
 @query("""SELECT arxiv_id, fetched_at, citation_count, title FROM (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY fetched_at DESC NULLS LAST, citation_count DESC NULLS LAST, title DESC NULLS LAST) AS rn FROM arxiv_paper) WHERE rn = 1""")
@@ -415,7 +467,17 @@ def match_rate_rollup(spark, d):
     return R.match_rates(table(spark, d, "accepted_paper").join(m, "paper_key", "left"))
 
 
-@query()
+def words_sql(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+
+
+def surname_sql(x: str) -> str:
+    return rf"lower(coalesce(regexp_extract({unmarked_sql(greek_sql(x))}, '([^\s\p{{Z}}]+)[\s\p{{Z}}]*$', 1), ''))"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT {translit_sql('title')} AS nt, arxiv_id, {surname_sql("split_part(coalesce(surname, ''), ',', 1)")} AS sur FROM corpus_entry), p AS (SELECT DISTINCT paper_key, {translit_sql('title')} AS nt, {surname_sql("split_part(coalesce(authors, ''), ',', 1)")} AS sur FROM accepted_paper),
+j AS (SELECT paper_key, arxiv_id, len(list_intersect({words_sql('p.nt')}, {words_sql('c.nt')})) AS n, len({words_sql('p.nt')}) AS a, len({words_sql('c.nt')}) AS b FROM p JOIN c ON p.sur = c.sur WHERE p.sur <> '' AND p.nt <> '' AND c.nt <> '')
+SELECT paper_key, arxiv_id, round(max(n / (a + b - n)), 6) AS jaccard FROM j WHERE n / (a + b - n) >= 0.6 GROUP BY 1, 2""")
 def fuzzy_block_jaccard(spark, d):
     c = R.fuzzy_candidates(table(spark, d, "accepted_paper"), table(spark, d, "corpus_entry"))
     return c.groupBy("paper_key", "arxiv_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
@@ -490,9 +552,12 @@ def paper_search(spark, d):
 # ---------------------------------------------------------------- semantic identifiers
 
 
-@query("SELECT row_number() OVER (ORDER BY parent_asin) - 1 AS item_idx, parent_asin FROM (SELECT DISTINCT parent_asin FROM item_meta WHERE parent_asin IS NOT NULL)")
+_ITEM_TEXT = r"""regexp_replace(concat_ws(' ', nullif(title, ''), nullif(array_to_string([coalesce(x, '') for x in categories], ' '), ''), nullif(array_to_string([coalesce(x, '') for x in description], ' '), ''), CASE WHEN price IS NOT NULL THEN CAST(price AS VARCHAR) END), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"""
+
+
+@query(f"SELECT row_number() OVER (ORDER BY parent_asin) - 1 AS item_idx, parent_asin, md5(text) AS digest FROM (SELECT parent_asin, text, row_number() OVER (PARTITION BY parent_asin ORDER BY rating_number DESC NULLS LAST, text DESC) AS rn FROM (SELECT *, {_ITEM_TEXT} AS text FROM item_meta) WHERE parent_asin IS NOT NULL) WHERE rn = 1")
 def item_vocab(spark, d):
-    return M.item_vocab(table(spark, d, "item_meta").filter("parent_asin is not null"), ["rating_number"]).select("item_idx", "parent_asin")
+    return M.item_vocab(table(spark, d, "item_meta").filter("parent_asin is not null"), ["rating_number"]).select("item_idx", "parent_asin", F.md5("text").alias("digest"))
 
 
 def _books(spark, d, width=8):
@@ -524,22 +589,23 @@ def collision_digit(spark, d):
     return M.collision_digit(c, order="vec_id").select("vec_id", F.col("codes")[0].alias("c1"), F.col("codes")[1].alias("c2"), "digit")
 
 
-@query(f"SELECT level, code FROM (SELECT l AS level, c AS code FROM range(2) a(l), range(8) b(c)) EXCEPT (SELECT 0, c1 FROM ({ENCODE}) UNION SELECT 1, c2 FROM ({ENCODE}))")
+@query(f"SELECT level, code FROM (SELECT l AS level, c AS code FROM range(2) a(l), range(12) b(c)) EXCEPT (SELECT 0, c1 FROM ({ENCODE}) UNION SELECT 1, c2 FROM ({ENCODE}))")
 def dead_codes(spark, d):
-    return M.dead_codes(M.encode(table(spark, d, "embeddings"), _books(spark, d), normalize=False), 2, 8)
+    """Codes of books of twelve that no vector has; only eight of each book exist."""
+    return M.dead_codes(M.encode(table(spark, d, "embeddings"), _books(spark, d), normalize=False), 2, 12)
 
 
 @query(f"""WITH t AS (SELECT category, user_id, parent_asin, pos, n FROM (SELECT *, {POS} FROM ({DEDUP}))), v AS (SELECT parent_asin, row_number() OVER (ORDER BY parent_asin) - 1 AS i FROM (SELECT DISTINCT parent_asin FROM item_meta WHERE parent_asin IS NOT NULL)),
 h AS (SELECT t.category, t.user_id, t.pos, v.i, row_number() OVER (PARTITION BY t.category, t.user_id ORDER BY t.pos DESC) AS r FROM t JOIN v USING (parent_asin) WHERE t.pos < t.n AND t.pos >= t.n - 20)
-SELECT category, user_id, string_agg(CAST(i % 16 AS VARCHAR) || ' ' || CAST(16 + i // 16 % 16 AS VARCHAR), ' ' ORDER BY pos) || repeat(' 32', 2 * CAST(10 - count(*) AS INT)) AS tokens FROM h WHERE r <= 10 GROUP BY 1, 2""")
+SELECT category, user_id, string_agg(CAST(i % 16 AS VARCHAR) || ' ' || CAST(16 + i // 16 % 16 AS VARCHAR), ' ' ORDER BY pos) || repeat(' 32', 2 * CAST(10 - count(*) AS INT)) AS tokens, repeat('1', 2 * CAST(count(*) AS INT)) || repeat('0', 2 * CAST(10 - count(*) AS INT)) AS mask FROM h WHERE r <= 10 GROUP BY 1, 2""")
 def tokens_padded(spark, d):
     """Tokens of the last ten known items before each user's test item, offset by level and padded."""
     seq = N.sequences(deduped(spark, d), 20).filter("split = 'test'").select("category", "user_id", "history")
     vocab = M.dense_index(table(spark, d, "item_meta"), "parent_asin")
     codes = vocab.select("parent_asin", F.array((F.col("item_idx") % 16).cast("int"), (F.floor(F.col("item_idx") / 16) % 16).cast("int")).alias("codes"))
     t = M.token_rows(seq, codes, 10, ["category", "user_id"])
-    padded, _ = M.pad_right(M.offset_tokens(F.col("tokens"), 2, 16), 20, 32)
-    return t.select("category", "user_id", F.array_join(padded, " ").alias("tokens"))
+    padded, mask = M.pad_right(M.offset_tokens(F.col("tokens"), 2, 16), 20, 32)
+    return t.select("category", "user_id", F.array_join(padded, " ").alias("tokens"), F.array_join(mask, "").alias("mask"))
 
 
 @query()
@@ -563,18 +629,8 @@ def beam_search(spark, d):
     s = table(spark, d, "events").withColumn("prev", F.lag("event_type").over(w)).filter("prev is not null").groupBy("prev", F.col("event_type").alias("code")).count()
     p = s.withColumn("logp", F.log(F.col("count") / F.sum("count").over(Window.partitionBy("prev"))))
     steps = p.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("level"))).select("level", "prev", "code", "logp")
-    cur = p.select("prev").distinct().select(F.col("prev").alias("query_id"), "prev")
-    return _beam(cur, steps, 2, 3)
-
-
-def _beam(starts, steps, levels, beam):
-    cur = starts.select("query_id", F.array().cast("array<string>").alias("path"), F.lit(0.0).alias("score"), "prev")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
-    for h in range(levels):
-        nxt = steps.filter(F.col("level") == h).select("prev", "code", "logp")
-        cur = cur.join(nxt, "prev").select("query_id", F.concat("path", F.array("code")).alias("path"), (F.col("score") + F.col("logp")).alias("score"), F.col("code").alias("prev"))
-        cur = cur.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beam).drop("_r")
-    return cur.select("query_id", F.array_join("path", " ").alias("path"), F.round("score", 6).alias("score"))
+    starts = p.select("prev").distinct().select(F.col("prev").alias("query_id"), "prev")
+    return M.beam_search(starts, steps, 2, 3).select("query_id", F.array_join("path", " ").alias("path"), F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- roll-ups

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.sources.tables import hadoop, write_new
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "error") -> None:
@@ -40,7 +40,7 @@ def write_codes(df: DataFrame, path: str, key: str, width: int) -> None:
     df.select(key, "codes", "digit", F.lit(width).alias("codebook_width"), F.size("codes").alias("num_hierarchies")).write.mode("overwrite").parquet(path)
 
 
-def write_markdown(df: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
+def write_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
     """One file per row at ``root/<path>``, written by the tasks; rows without path or content write nothing. ``root`` is a folder all executors share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,14 +73,15 @@ def refresh_metadata(index: DataFrame, meta: DataFrame, key: str, embedding: str
 def write_stats(stats: DataFrame, folder: str) -> None:
     """stats.json and stats.md of a per-category table (a row per category, so a small one); missing values print as a dash."""
     rows = [r.asDict(recursive=True) for r in stats.collect()]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    tmp = Path(folder, f".stats.{uuid.uuid4().hex}")
-    tmp.write_text(json.dumps(rows, indent=1, default=str))
-    tmp.rename(Path(folder, "stats.json"))
     cell = lambda v: "—" if v is None else f"{v:,}" if isinstance(v, int) else str(v)
     head = stats.columns
     lines = ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(cell(r[h]) for h in head) + " |" for r in rows)]
-    Path(folder, "stats.md").write_text("\n".join(lines) + "\n")
+    for name, text in (("stats.json", json.dumps(rows, indent=1, default=str)), ("stats.md", "\n".join(lines) + "\n")):
+        fresh = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        write_new(stats.sparkSession, fresh, text)
+        fs, to = hadoop(stats.sparkSession, f"{folder}/{name}")
+        fs.delete(to, False)
+        fs.rename(hadoop(stats.sparkSession, fresh)[1], to)
 
 
 def append_new_tsv(df: DataFrame, known: DataFrame, path: str, key: str = "arxiv_id") -> None:
