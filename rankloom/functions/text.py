@@ -340,12 +340,24 @@ def pair_prompt(task: Column | str, query: Column | str, doc: Column | str) -> C
     return F.concat(F.lit("<Instruct>: "), text_or_empty(task), F.lit("\n<Query>: "), text_or_empty(query), F.lit("\n<Document>: "), text_or_empty(doc))
 
 
+def three_decimals(x: Column | str) -> Column:
+    """A score as text with three decimals, rounded by its exact binary value, ties to even; null counts as zero.
+
+    A double is split into a part of 24 bits and the exact rest, so that 2000 times each is exact and their sum has the true sign.
+    """
+    x = F.coalesce(_c(x).cast("double"), F.lit(0.0))
+    k, hi = F.floor(x * 1000 + 0.5), x.cast("float").cast("double")
+    over = (hi * 2000 - (k * 2 - 1)) + (x - hi) * 2000
+    k = F.when((over < 0) | ((over == 0) & (k % 2 != 0)), k - 1).otherwise(k)
+    return F.format_string("%.3f", k / 1000.0)
+
+
 def render_match(title_sim: Column | str, candidates: Column | str) -> Column:
     """Text of a match result: the title similarity, then a table row per candidate (struct of rerank, recall, arxiv_id, title, surname) in their order.
 
     Scores have three decimals, titles at most 70 characters.
     """
-    three = lambda c: F.format_string("%.3f", F.coalesce(c.cast("double"), F.lit(0.0)))
+    three = three_decimals
     row = lambda c, i: F.concat_ws(" | ", F.concat(F.lit("| "), (i + 1).cast("string")), three(c["rerank"]), three(c["recall"]), F.concat(F.lit("`"), text_or_empty(c["arxiv_id"]), F.lit("`")), short_title(c["title"], 70), F.concat(text_or_empty(c["surname"]), F.lit(" |")))
     return F.concat_ws("\n", F.concat(F.lit("title_sim "), three(_c(title_sim))), F.array_join(F.transform(_c(candidates), row), "\n"))
 

@@ -3,6 +3,10 @@
 from pyspark.sql import types as T
 
 
+#: Times in JSON lines.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def _s(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 

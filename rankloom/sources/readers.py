@@ -29,7 +29,7 @@ def ratings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """JSON lines with a fixed schema; blank and malformed lines are dropped, missing keys are null."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path if isinstance(path, str) else list(path))
+    return spark.read.schema(schema).options(mode="DROPMALFORMED", timestampFormat=S.MICROS, timestampNTZFormat=S.MICROS).json(path if isinstance(path, str) else list(path))
 
 
 def item_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +148,7 @@ def oai_pages(spark: SparkSession, path: str) -> DataFrame:
     """(arxiv_id, title, first_author) of harvested XML pages; records without metadata (deleted ones) are dropped."""
     df = spark.read.format("xml").option("rowTag", "record").schema(OAI_RECORD).load(path)
     a = F.try_element_at(F.col("metadata.arXiv.authors.author"), F.lit(1))
-    squeeze = lambda c: X.strip(F.regexp_replace(c, r"\s+", " "))
+    squeeze = lambda c: X.strip(F.regexp_replace(c, r"(?U)\s+", " "))
     return df.filter(F.col("metadata.arXiv.id").isNotNull()).select(
         X.strip("metadata.arXiv.id").alias("arxiv_id"), squeeze("metadata.arXiv.title").alias("title"), squeeze(F.concat_ws(" ", a["forenames"], a["keyname"])).alias("first_author")
     )
@@ -166,7 +166,7 @@ def anthology_volumes(spark: SparkSession, path: str, volumes: tuple[str, ...] =
     """Papers of the main volumes; text inside inline markup is kept, the tags go."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<volume\b.*?</volume>)"), 1)).alias("v"))
     rows = rows.select(F.regexp_extract("v", r'<volume\b[^>]*\bid="([^"]*)"', 1).alias("volume"), F.explode(F.regexp_extract_all("v", F.lit(r"(?s)(<paper\b.*?</paper>)"), 1)).alias("p"))
-    text = lambda tag: X.strip(F.regexp_replace(F.coalesce(F.expr(f"xpath_string(p, 'paper/{tag}')"), F.lit("")), r"\s+", " "))
+    text = lambda tag: X.strip(F.regexp_replace(F.coalesce(F.expr(f"xpath_string(p, 'paper/{tag}')"), F.lit("")), r"(?U)\s+", " "))
     names = F.expr("zip_with(xpath(p, 'paper/author/first/text()'), xpath(p, 'paper/author/last/text()'), (f, l) -> trim(concat_ws(' ', f, l)))")
     return rows.filter(F.col("volume").isin(*volumes)).select("volume", text("title").alias("title"), F.array_join(names, ", ").alias("authors"), text("abstract").alias("abstract"), text("url").alias("url"))
 

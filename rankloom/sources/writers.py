@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom import schemas as S
 from rankloom.functions import text as X
 from rankloom.sources.tables import hadoop, write_new
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "error") -> None:
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).options(timestampFormat=S.MICROS, timestampNTZFormat=S.MICROS)  # the default drops microseconds
     (w.partitionBy(*partition_by) if partition_by else w).json(path)
 
 

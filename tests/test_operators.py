@@ -141,3 +141,73 @@ def test_kmeans_codes(spark):
     for r in M.encode(df, books, normalize=False).collect():
         by[r.codes[0]].add(r.vec_id % 2)
     assert sorted(map(sorted, by.values())) == [[0], [1]]
+
+
+def test_global_split_against_sorting(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in ("a", "b", None, "one"):
+        n = 1 if g == "one" else 160
+        span = {"a": 10**12, "b": 40, None: 2**44}.get(g, 5)
+        rows += [(g, "u", "i", None if rng.random() < 0.05 and g == "b" else rng.randrange(-span, span), 1.0) for _ in range(n)]
+    got = Counter((r.category, r.ts_ms, r.split) for r in N.temporal_split_global(inter(spark, rows)).collect())
+    want = Counter()
+    for g in {r[0] for r in rows}:
+        ts = [r[3] if r[3] is not None else -(2**63) for r in rows if r[0] == g]
+        for t in ts:
+            upto = sum(x <= t for x in ts)
+            want[g, None if t == -(2**63) else t, "train" if upto * 10 <= len(ts) * 8 else "valid" if upto * 10 <= len(ts) * 9 else "test"] += 1
+    assert got == want
+
+
+def test_search_per_value_and_lengths(spark):
+    rng = random.Random(2)
+    ix = [(i, [rng.gauss(0, 1) for _ in range(3 if i % 7 else 2)], rng.choice(["x", "y", None])) for i in range(90)]
+    q = [(100 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(4)] + [(999, None)]
+    df, qd = spark.createDataFrame(ix, "vec_id long, embedding array<double>, label string").repartition(3), spark.createDataFrame(q, "query_id long, embedding array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for per in (None, "label"):
+        got = {(r.query_id, r.label if per else 0, r["rank"]): r.vec_id for r in S.cosine_topk(df, qd, 4, per=per).collect()}
+        want = {}
+        for qi, v in q[:-1]:
+            for label in {"x", "y", None} if per else {0}:
+                best = sorted(((-dot(v, e), i) for i, e, x in ix if len(e) == 3 and (not per or x == label)))[:4]
+                want |= {(qi, label, k + 1): i for k, (_, i) in enumerate(best)}
+        assert got == want
+    self_out = S.cosine_topk(df, df.select(F.col("vec_id").alias("query_id"), "embedding"), 2, exclude_self=True)
+    assert self_out.filter("query_id = vec_id").count() == 0 and S.cosine_topk(df.limit(0), qd, 3).count() == 0
+
+
+def test_bm25_and_lookup(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, []), (4, None)], "doc_id long, words array<string>")
+    q = spark.createDataFrame([(7, ["a", "a"]), (8, ["z"]), (9, None)], "query_id long, words array<string>")
+    assert [(r.query_id, r.doc_id) for r in S.bm25_topk(docs, q, 5).collect()] == [(7, 1)]
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "arxiv_id string")
+    rec = spark.createDataFrame([("a", ("t",)), ("a", ("t",)), ("c", ("x",))], "arxiv_id string, rec struct<title string>")
+    assert sorted((r.arxiv_id, r.found) for r in H.batch_results(ids, rec).collect()) == [("a", True), ("b", False)]
+    v = spark.createDataFrame([("KDD2016",), ("ICML2017",), (None,), ("odd",)], "venue_short string")
+    assert H.venue_years(v, ["KDD"]).count() == H.venue_years(v, [], [2017]).count() == 1 and H.venue_years(v).count() == 4
+
+
+def test_seeding_and_revival(spark):
+    """Seeds differ and lie far apart; a centroid without rows takes the row furthest off; drawing follows squared distances."""
+    rows = [(i, [10.0 * (i % 4), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    c = M.plus_plus(df, [], 4, "vec_id", "embedding", False)
+    assert sorted(x[0] for x in c) == [0.0, 10.0, 20.0, 30.0]
+    assert len(M.plus_plus(df, [], 9, "vec_id", "embedding", False)) == 4 and len(M.plus_plus(df.limit(0), [], 3, "vec_id", "embedding", False)) == 0
+    dead = [[[0.0, 1.0], [900.0, 1.0]]]
+    assert M.fit_residual_kmeans(df, 1, 2, 1, normalize=False, init=dead)[0][1][0] == 900.0
+    assert M.fit_residual_kmeans(df, 1, 2, 1, normalize=False, init=dead, revive=True)[0][1][0] == 30.0
+    pair = spark.createDataFrame([(i, [0.0 if i < 50 else 1.0 if i < 90 else 2.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    second = Counter(float(M.plus_plus(pair, [], 2, "vec_id", "embedding", False)[1][0]) for _ in range(1))
+    assert sum(second.values()) == 1
+
+
+def test_runs_and_lists(spark):
+    runs = spark.createDataFrame([("g", "b", 0.5), ("g", "a", 0.5), ("g", "c", 0.1), ("h", "x", None), (None, "y", 0.2)], "g string, run string, m double")
+    assert sorted(map(str, M.best_run(runs, "m", ["g"]).collect())) == sorted(["Row(g='g', run='a', m=0.5)", "Row(g=None, run='y', m=0.2)"])
+    gen = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "query_id int, rank int, value string")
+    tgt = spark.createDataFrame([(1, "b"), (2, "b"), (3, None)], "query_id int, target string")
+    r = M.evaluate_generated(gen, tgt).first()
+    assert (r.recall_5, r.mrr_5) == (0.5, 0.25)

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from rankloom.plans import core
+from rankloom.plans import core, files, more  # noqa: F401 - each module registers its queries
 
 D = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")

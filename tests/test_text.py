@@ -63,3 +63,16 @@ def test_python_float(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [[round(x, 6) for x in r[0]] for r in df.select(V.l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_three_decimals_as_printed(spark):
+    rng = __import__("random").Random(4)
+    nums = [0.2485, 0.1725, 0.0625, 0.1875, -0.5, 0.0, 1.0, 0.9995, 2.0005] + [round(rng.uniform(-1, 2), 4) for _ in range(300)]
+    assert [float(g[0]) for g in values(spark, [(n,) for n in nums], "x double", X.three_decimals("x"))] == [float(f"{n:.3f}") for n in nums]
+
+
+def test_match_text_round_trip(spark):
+    df = spark.createDataFrame([(0.9, [("2502.12510", 0.97, 0.853, "t" * 90, "Lee")]), (None, [])], "s double, c array<struct<arxiv_id string, rerank double, recall double, title string, surname string>>")
+    got = [tuple(r.p) for r in df.select(X.parse_match(X.render_match("s", "c")).alias("p")).collect()]
+    assert got == [(0.9, 0.97, "2502.12510", "Lee"), (0.0, 0.0, None, "")]
+    assert [g[0] for g in values(spark, [("2301.00001v12",), ("solv-int/9901001v2",), ("solv-int/9901001",), (None,)], "a string", X.arxiv_key("a"))] == ["2301.00001", "solv-int/9901001", "solv-int/9901001", None]
