@@ -16,7 +16,7 @@ HYPHENS = dict.fromkeys(map(ord, "\u2010\u2011\ufe63\uff0d\u2212"), "-")
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ɡ": "g", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H",
     "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W",
     "Ԍ": "G", "Ү": "Y", "ү": "y", "к": "k", "ї": "ï", "ё": "ë", "Ё": "Ë", "Ї": "Ï",
 }
@@ -25,11 +25,19 @@ GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "ό": "ó", "ί": "í", "ά": "á", "Ϊ": "Ï", "ϊ": "ï",
 }
-LOOKALIKE = CYRILLIC | GREEK
+ARMENIAN = {"օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "ք": "p", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L", "Ց": "8"}
+CHEROKEE = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "i", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮤ": "W",
+    "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ꮟ": "b", "Ꮒ": "h", "Ᏻ": "G", "Ᏼ": "B",
+}
+IPA = {"ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ʋ": "u", "ʏ": "y", "ɯ": "w", "ɾ": "r", "ʌ": "v"}
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | IPA
 TO_LATIN = str.maketrans(LOOKALIKE)
 FROM_LATIN = {"CYRILLIC": {v: k for k, v in reversed(CYRILLIC.items())}, "GREEK": {v: k for k, v in reversed(GREEK.items())}}
 TOKEN = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
-FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0261]")
+#: Blocks that hold look-alikes: IPA, Greek, Cyrillic, Armenian, Cherokee. Also a pattern in Java.
+BLOCKS = "[\u0250-\u02af\u0370-\u03ff\u0400-\u052f\u0531-\u0588\u13a0-\u13f5]"
+FOREIGN = re.compile(BLOCKS)
 
 
 _WIDE = re.compile("[\uff01-\uffee\ufb00-\ufb06]+")
@@ -93,12 +101,12 @@ def visible_lines(t: str) -> str:
 
 
 def script(c: str) -> str:
+    """Script of a letter, by its name; phonetic letters are a script of their own, since no spelling mixes them with others. Empty for other characters."""
     if c.isascii():
         return "LATIN" if c.isalpha() else ""
     if not c.isalpha():
         return ""
-    n = unicodedata.name(c, "").split(" ")[0]
-    return n if n in ("LATIN", "CYRILLIC", "GREEK") else "OTHER"
+    return "IPA" if "\u0250" <= c <= "\u02af" else unicodedata.name(c, "OTHER").split(" ")[0]
 
 
 _AMBIGUOUS = set(LOOKALIKE) | set(LOOKALIKE.values())
@@ -129,18 +137,24 @@ def convert(token: str, to: str) -> str | None:
 
 
 def mixed_tokens(t: str) -> list[tuple[str, list[str]]]:
-    """Tokens that mix scripts, or whose script isn't the text's, with the forms they may stand for: the token's script first, then the text's."""
+    """Tokens that mix scripts, with the forms they may stand for: in the token's dominant script first, then in the others it has.
+
+    A token wholly in another script than the title, all of whose letters are look-alikes of the title's (a lone ``А`` in a Latin
+    title, or a short word whose every letter was exchanged), mixes scripts with the text around it and is treated alike.
+    """
     if t.isascii() or not FOREIGN.search(t):
         return []
     whole, out = dominant(t), []
     for tok in dict.fromkeys(TOKEN.findall(t)):
         if not FOREIGN.search(tok):
             continue
-        own = dominant(tok)
-        scripts = {script(c) for c in tok} - {""}
-        if len(scripts) == 1 and own == whole:
+        own, scripts = dominant(tok), {script(c) for c in tok} - {""}
+        if len(scripts) > 1:
+            targets = [own, *sorted(scripts - {own}, key=lambda s: (s != whole, s != "LATIN", s))]
+        elif own != whole and all(c in _AMBIGUOUS or not script(c) for c in tok):
+            targets = [whole]
+        else:
             continue
-        targets = [s for s in dict.fromkeys((own, whole, "LATIN")) if s]
         forms = [f for s in targets if (f := convert(tok, s)) and f != tok]
         if forms:
             out.append((tok, list(dict.fromkeys(forms))))

@@ -1,7 +1,8 @@
 """Problem 2: titles that look the same in different characters.
 
-``repair_titles`` brings text to its visible form and replaces look-alike letters, but only in tokens that mix scripts (or
-stand in another script than the rest of the title), and only where the result occurs in the vocabulary of the whole corpus.
+``repair_titles`` brings text to its visible form and replaces look-alike letters, but only in tokens that mix scripts (with a token
+whose every letter is a look-alike in a title of another script counted among them), and only where the result occurs in the
+vocabulary of the whole corpus.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import chars as C
+from rankloom.session import cut
 
 PAIRS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("forms", T.ArrayType(T.StringType()))]))
 
@@ -38,20 +40,17 @@ _TOKENS = r"(\p{L}[\p{L}\p{M}]*)"
 def repair_titles(titles: DataFrame, col: str = "title", out: str = "form") -> DataFrame:
     """Distinct (title, form) of a column of titles. Nulls are left out, empty titles stay empty.
 
-    The vocabulary is all distinct tokens of all titles that aren't in question themselves, regardless of case, plus forms
-    that at least two different spellings lead to. It stays distributed: forms in question are joined with it.
+    The vocabulary is all tokens of all titles, regardless of case. Only those that a repair asks for leave the tasks that read them.
     """
     t = titles.select(F.col(col).alias("title")).filter(F.col("title").isNotNull()).groupBy("title").agg(F.lit(1).alias("_one")).drop("_one")
     plain = F.col("title").rlike(_PLAIN)
     squeezed = F.trim(F.regexp_replace("title", " +", " "))
-    t = t.withColumn("vis", F.when(plain, squeezed).otherwise(_visible(F.when(~plain, F.col("title")))))
-    odd = t.filter(F.col("vis").rlike("[\u0370-\u03ff\u0400-\u052f\u0261]")).withColumn("mixed", _mixed("vis"))
-    bad = odd.select("title", "vis", F.explode("mixed").alias("m")).select("title", "vis", F.col("m.token").alias("token"), F.posexplode("m.forms").alias("at", "f"))
+    t = cut(t.withColumn("vis", F.when(plain, squeezed).otherwise(_visible(F.when(~plain, F.col("title"))))))  # read four times
+    odd = t.filter(F.col("vis").rlike(C.BLOCKS)).withColumn("mixed", _mixed("vis"))
+    bad = cut(odd.select("title", F.explode("mixed").alias("m")).select("title", F.col("m.token").alias("token"), F.posexplode("m.forms").alias("at", "f")))
     asked = bad.select("token", "at", "f").distinct().withColumn("key", F.lower("f"))
-    vocab = t.select(F.explode(F.regexp_extract_all("vis", F.lit(_TOKENS), 1)).alias("w")).distinct()
-    vocab = vocab.join(asked.select(F.col("token").alias("w")).distinct(), "w", "left_anti").select(F.lower("w").alias("key")).distinct()
-    twice = asked.groupBy("key").agg(F.countDistinct(F.lower("token")).alias("n")).filter("n >= 2").select("key")
-    known = vocab.join(asked.select("key").distinct(), "key", "left_semi").unionByName(twice).distinct()
+    words = t.select(F.explode(F.regexp_extract_all("vis", F.lit(_TOKENS), 1)).alias("w")).select(F.lower("w").alias("key"))
+    known = words.join(asked.select("key").distinct(), "key", "left_semi").distinct()
     good = asked.join(known, "key", "left_semi").groupBy("token").agg(F.min(F.struct("at", "f")).alias("b")).select("token", F.col("b.f").alias("form"))
     fixes = bad.select("title", "token").distinct().join(good, "token").groupBy("title").agg(F.collect_list(F.struct("token", "form")).alias("fixes"))
     return t.join(fixes, "title", "left").select("title", F.when(F.col("fixes").isNull(), F.col("vis")).otherwise(_replace("vis", "fixes")).alias(out))

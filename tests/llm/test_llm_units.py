@@ -22,6 +22,10 @@ def test_visible_form():
     assert C.visible("x² – y") == "x² – y" and C.visible("") == ""
     assert C.mixed_tokens("Plain text") == [] and C.mixed_tokens("Привет мир") == []
     assert C.mixed_tokens("Nоisy А Clicks") == [("Nоisy", ["Noisy"]), ("А", ["A"])]
+    # Armenian, Cherokee and phonetic letters; words of another script that aren't look-alikes throughout stay
+    assert [f[0] for _, f in C.mixed_tokens("Nօisy Ꭲnput for nɑme trees")] == ["Noisy", "input", "name"]
+    assert C.mixed_tokens("Learning Привет from дом data") == [] and C.mixed_tokens("On λ-calculus") == []
+    assert C.script("を") == "HIRAGANA" and C.mixed_tokens("BERTを use") == []
     assert C.undo_mojibake("JosÃ©") == "José" and C.undo_mojibake("José") == "José"
 
 
