@@ -1,17 +1,19 @@
 """Problem 7: evaluation passages inside training text.
 
-Word windows of the size of a quarter item are embedded by a CGK random walk, which turns edits (a word changed, dropped or
-added) into few differing places of a fixed-length string. Bit sampling over these places gives hash keys; windows of items
-and texts with an equal key are candidates. The number of walks and keys is chosen for the target recall. Candidates are
-verified exactly: the text must hold half of the item's words in their order, in at most two runs.
+Word windows in proportion to the item are embedded by a CGK random walk, which turns edits (a word changed, dropped or added) into
+few differing places of a fixed-length string. Bit sampling over these places gives hash keys; items and texts with a window of
+equal key are candidates. How many embeddings are needed for the target recall is worked out for every window size by trial on
+random items (``tables_for``). Candidates are verified exactly, by the alignment of item and text word by word: the text must hold
+half of the item's words in their order, in at most two runs.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -21,27 +23,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import chars as C
+from rankloom.session import cut
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """Windows of ``window`` words; ``walks`` embeddings with ``tables`` keys of ``sampled`` places each.
+    """``share`` of an item's words that a text must hold; ``recall`` that the candidates reach at a ``change`` rate of words.
 
-    A window with one changed word keeps about half of the places of its walk up to the change equal, and walks meet again after it;
-    a passage of half an item offers ten and more windows at every offset, so the chance that fewer than ``least_windows`` of them meet is small
-    (measured recall against brute force: see the README).
+    An item is held by half at least, in one or two runs, so a run may be a quarter of it and changed words part it further: windows are
+    a seventh of the item (``window_size``), with as many sampled places as words. Above ``max_items`` items the keys of both sides are
+    joined instead of sending the items to the texts; the rows are the same.
     """
 
-    window: int = 10
-    walks: int = 2
-    tables: int = 1
-    sampled: int = 8
-    seed: int = 11
     share: float = 0.5
-    least_windows: int = 3
+    recall: float = 0.98
+    change: float = 0.16
+    seed: int = 11
     max_items: int = 100_000
 
 
+#: Words that may differ between two matches of a run, on either side; what a differing word costs a run, in matching words; the least words of a run.
+GAP, COST, RUN = 3, 2.0, 5
+#: Items with fewer words have windows of three words that must be equal.
+SHORT = 28
+
+
 _WORDS = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 
@@ -67,18 +73,18 @@ def shared_openings(items: DataFrame, text_col: str, n: int) -> set[tuple[str, .
     return {tuple(r["o"].split()) for r in seen.collect()}
 
 
-def strip_shared(items: list[tuple[int, str]], known: set[tuple[str, ...]] | None = None) -> dict[int, list[str]]:
-    """Words of each item without an opening sentence that is ``known`` to be shared, or that at least a twentieth of the items (and five) open with."""
-    first = {i: _SENTENCE.split(t or "", maxsplit=1) for i, t in items}
-    opening = Counter(tuple(leak_words(p[0])) for p in first.values() if len(p) > 1)
-    least = max(5, len(items) // 20)
-    out = {}
-    for i, t in items:
-        p = first[i]
-        o = tuple(leak_words(p[0]))
-        shared = len(p) > 1 and (opening[o] >= least if known is None else o in known)
-        out[i] = leak_words(p[1] if shared else t)
-    return out
+def strip_shared(text: str, known: set[tuple[str, ...]]) -> list[str]:
+    """Words of an item without an opening sentence that is ``known`` to be shared."""
+    first = _SENTENCE.split(text or "", maxsplit=1)
+    return leak_words(first[1] if len(first) > 1 and tuple(leak_words(first[0])) in known else text)
+
+
+def window_size(n: int) -> int:
+    """The largest size of the series 4, 6, 9, 14, ... that is at most a seventh of ``n`` words; 3 for short items."""
+    size, k = 3, 0
+    while n >= SHORT and round(4 * 1.5**k) <= n / 7:
+        size, k = round(4 * 1.5**k), k + 1
+    return size
 
 
 def _word_ids(words: list[str], ids: dict[str, int]) -> np.ndarray:
@@ -103,77 +109,104 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_keys(ids: np.ndarray, starts: np.ndarray, size: int, cfg: LeakConfig) -> np.ndarray:
-    """Hash keys (tables x windows) of the windows of ``size`` words from ``starts``, all windows walked at once.
+def table_keys(ids: np.ndarray, starts: np.ndarray, size: int, table: int, seed: int = LeakConfig.seed) -> np.ndarray:
+    """Hash keys of the windows of ``size`` words from ``starts`` in one embedding, all windows walked at once.
 
     At step j a walk writes the word it stands on and moves on if a random bit of (j, word) is one; past the window it writes blanks.
+    Of the 2 * ``size`` places as many as the window has words are sampled. Windows of three words are their own key.
     """
-    keys = []
-    for walk in range(cfg.walks):
-        at = np.zeros(len(starts), dtype=np.int64)
-        steps = 2 * size
-        rng = np.random.default_rng(cfg.seed + walk)
-        picked = [np.sort(rng.choice(steps, cfg.sampled, replace=False)) for _ in range(cfg.tables)]
-        want = np.unique(np.concatenate(picked))
-        salt = rng.integers(1, 2**63, steps, dtype=np.uint64)
-        written: dict[int, np.ndarray] = {}
-        for j in range(int(want[-1]) + 1):
-            inside = at < size
-            word = np.where(inside, ids[np.minimum(starts + at, len(ids) - 1)], np.uint64(0))
-            if j in want:
-                written[j] = word
-            bit = (_mix(word * _M1 + salt[j]) >> np.uint64(40)) & np.uint64(1)
-            at += (bit.astype(np.int64)) & inside
-        for k, places in enumerate(picked):
-            key = np.full(len(starts), np.uint64(walk * 97 + k + 1))
-            for j in places:
-                key = _mix(key * _M1 + written[int(j)])
-            keys.append(key)
-    return np.stack(keys)
+    key = np.full(len(starts), np.uint64(131 * table + size))
+    if size == 3:
+        for j in range(3):
+            key = _mix(key * _M1 ^ ids[starts + j])
+        return key
+    rng = np.random.default_rng([seed, size, table])
+    picked = set(rng.choice(2 * size, size, replace=False).tolist())
+    salt = [np.uint64(x) for x in rng.integers(1, 2**63, 2 * size // 64 + 1)]
+    bits = [_mix(ids * _M1 ^ x) for x in salt]  # 64 random bits of every word, one for each step
+    at = np.zeros(len(starts), dtype=np.int64)
+    for j in range(max(picked) + 1):
+        pos = starts + np.minimum(at, size - 1)
+        if j in picked:
+            key = _mix(key * _M1 ^ np.where(at < size, ids[pos], np.uint64(0)))
+        at += ((bits[j // 64][pos] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        np.minimum(at, size, out=at)
+    return key
+
+
+def window_keys(ids: np.ndarray, starts: np.ndarray, size: int, tables: int, seed: int = LeakConfig.seed) -> np.ndarray:
+    """Keys (tables x windows) of several embeddings."""
+    return np.stack([table_keys(ids, starts, size, t, seed) for t in range(tables)])
+
+
+def _spoilt(words: np.ndarray, rng: np.random.Generator, change: float) -> np.ndarray:
+    """Words of which a share is changed, dropped or has another one before it."""
+    out = []
+    for w, hit, how in zip(words, rng.random(len(words)) < change, rng.random(len(words)), strict=True):
+        out += [w] if not hit else [rng.integers(2**40, 2**50)] if how < 0.5 else [] if how < 0.75 else [rng.integers(2**40, 2**50), w]
+    return np.array(out, dtype=np.uint64)
+
+
+def hit_rates(size: int, cfg: LeakConfig, most: int = 16, trials: int = 300) -> list[float]:
+    """Share of random items of the shortest length for ``size``, held by half in two runs of which words are changed, that 1, 2, ... tables find."""
+    n = max(SHORT, 7 * size)
+    rng, first = np.random.default_rng([cfg.seed, size]), []
+    span = int(np.ceil(cfg.share * n / (1 - cfg.change)))
+    for _ in range(trials):
+        item, noise = rng.integers(1, 2**40, n).astype(np.uint64), rng.integers(2**40, 2**50, 60).astype(np.uint64)
+        a = rng.integers(0, n - span + 1)
+        b = rng.integers(a + span // 2, n - span + span // 2 + 1)
+        doc = np.concatenate([noise[:20], _spoilt(item[a : a + span // 2], rng, cfg.change), noise[20:40], _spoilt(item[b : b + span - span // 2], rng, cfg.change), noise[40:]])
+        x, y = np.arange(len(doc) - size + 1), np.arange(n - size + 1)
+        first.append(next((t for t in range(most) if np.isin(table_keys(doc, x, size, t, cfg.seed), table_keys(item, y, size, t, cfg.seed)).any()), most))
+    return [float(np.mean([f <= t for f in first])) for t in range(most)]
+
+
+@lru_cache(maxsize=256)
+def tables_for(size: int, cfg: LeakConfig) -> int:
+    """The fewest tables that reach the target recall in trials; 16 if none do."""
+    if size == 3:
+        return 1
+    rates = hit_rates(size, cfg)
+    return next((t + 1 for t, r in enumerate(rates) if r >= cfg.recall), len(rates))
 
 
 def held_words(doc: list[str], item: list[str]) -> float:
     """Share of the item's words that the text holds in order, as at most two runs.
 
-    A run is a chain of exact matches of at least three words each on nearby diagonals, in which only scattered words differ:
-    gaps of at most three words on either side, shorter than the matches beside them.
+    A run is a local alignment: equal words in the same order, at most ``GAP`` differing words between two of them on either side, each
+    differing word costing ``COST`` matching ones, so that words which only happen to agree make no run. For every pair of equal
+    words the best run that ends there is found by dynamic programming over the pairs before it; no pair is left out.
     """
     n = len(item)
-    if not n:
-        return 0.0
-    where: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for k in range(n - 2):
-        where[tuple(item[k : k + 3])].append(k)
-    blocks: dict[tuple[int, int], int] = {}
-    ends: dict[tuple[int, int], tuple[int, int]] = {}
-    for d in range(len(doc) - 2):
-        for k in where.get(tuple(doc[d : d + 3]), ()):
-            if (d - 1, k - 1) in ends:
-                s = ends[(d, k)] = ends.pop((d - 1, k - 1))
-            else:
-                s = ends[(d, k)] = (d, k)
-            blocks[s] = d - s[0] + 3
-    # two matching words beside a gap belong to a run as well, so the ends are stretched over single changed words
-    segs = sorted((d, k, m) for (d, k), m in blocks.items())
-    best: list[tuple[int, int, int, int]] = []  # matched, first item word, last item word, first text word
-    state: list[tuple[int, int, int, int, int, int]] = []
-    for d, k, m in segs:
-        top, ks, ds = m, k, d
-        for d0, k0, m0, t0, ks0, ds0 in state:
-            gd, gk = d - (d0 + m0), k - (k0 + m0)
-            if -2 <= gd <= 4 and -2 <= gk <= 4 and k > k0 and d > d0:
-                lost = max(0, -min(gd, gk))
-                bonus = _between(doc[d0 + m0 : d], item[k0 + m0 : k]) if gd > 0 and gk > 0 else 0
-                if t0 + m - lost + bonus > top:
-                    top, ks, ds = t0 + m - lost + bonus, ks0, ds0
-        state.append((d, k, m, top, ks, ds))
-        best.append((top, ks, k + m, ds))
-    if not best:
-        return 0.0
-    runs = [(t, a, z, ds) for t, a, z, ds in best if t >= min(5, n)]
-    if not runs:
-        return 0.0
-    return best_ordered(runs) / n
+    where: dict[str, list[int]] = {}
+    for k, w in enumerate(item):
+        where.setdefault(w, []).append(k)
+    runs: list[tuple[int, int, int, int]] = []  # matched, first item word, last item word + 1, first text word
+    rows: deque[tuple[int, dict]] = deque()
+    reach = range(1, GAP + 2)
+    for d, w in enumerate(doc):
+        at = where.get(w)
+        while rows and rows[0][0] < d - GAP - 1:
+            rows.popleft()
+        if at is None:
+            continue
+        row = {}
+        for k in at:
+            best = (1.0, 1, k, d)
+            for d0, old in rows:
+                gd = d - d0
+                for gk in reach:
+                    c = old.get(k - gk)
+                    if c is not None:
+                        score = c[0] + 1 - COST * ((gd if gd > gk else gk) - 1)
+                        if score > best[0] or (score == best[0] and c[1] + 1 > best[1]):
+                            best = (score, c[1] + 1, c[2], c[3])
+            row[k] = best
+            if best[1] >= min(RUN, n):
+                runs.append((best[1], best[2], k + 1, best[3]))
+        rows.append((d, row))
+    return best_ordered(runs) / n if runs else 0.0
 
 
 def best_ordered(runs: list[tuple[int, int, int, int]]) -> int:
@@ -203,85 +236,122 @@ def best_ordered(runs: list[tuple[int, int, int, int]]) -> int:
     return top
 
 
-def _between(a: list[str], b: list[str]) -> int:
-    """Matching words inside a small gap: a dropped or doubled letter counts as a changed word, equal words as matches."""
-    return sum(1 for w in b if w in a)
+class _Index:
+    """Window keys of a bounded set of items, looked up for many windows at once."""
+
+    def __init__(self, items: list[tuple[object, list[str]]], cfg: LeakConfig):
+        self.items, self.by = items, {}
+        ids: dict[str, int] = {}
+        for size in sorted({window_size(len(w)) for _, w in items}):
+            keys, owns, tables = [], [], tables_for(size, cfg)
+            for at, (_, w) in enumerate(items):
+                if window_size(len(w)) == size and len(w) >= size:
+                    k = window_keys(_word_ids(w, ids), np.arange(len(w) - size + 1), size, tables, cfg.seed).ravel()
+                    keys.append(k)
+                    owns.append(np.full(len(k), at))
+            if keys:
+                pairs = np.unique(np.stack([np.concatenate(keys), np.concatenate(owns).astype(np.uint64)], 1), axis=0)
+                seen = np.zeros(1 << 22, dtype=bool)
+                seen[(pairs[:, 0] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+                self.by[size] = (pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), seen, tables)
+
+    def candidates(self, flat: np.ndarray, row_of: np.ndarray, ends: np.ndarray, cfg: LeakConfig) -> set[tuple[int, int]]:
+        """(row, item) that share a key; ``flat`` holds the words of several texts, no window reaches from one into the next."""
+        out: set[tuple[int, int]] = set()
+        for size, (known, owner, seen, tables) in self.by.items():
+            starts = np.flatnonzero(np.arange(len(flat)) + size <= ends[row_of])
+            for t in range(tables):
+                k = table_keys(flat, starts, size, t, cfg.seed)
+                maybe = np.flatnonzero(seen[(k & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                lo, hi = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
+                for i in np.flatnonzero(hi > lo):
+                    out.update((int(row_of[starts[maybe[i]]]), int(o)) for o in owner[lo[i] : hi[i]])
+        return out
+
+
+def _item_words(items: DataFrame, item_id: str, item_text: str, n: int) -> DataFrame:
+    """(item id, words) of the items with three words and more, without shared openings; a repeated id counts once."""
+    known = shared_openings(items, item_text, n)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def words(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: strip_shared(t, known))
+
+    return items.select(item_id, words(item_text).alias("_words")).filter(F.size("_words") >= 3)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig(), id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item id, share) of the texts that hold at least half of an item's words. Null and empty texts hold nothing; repeated rows come out once.
 
-    The items are a fixed benchmark: they are collected after their number was checked against ``max_items``, and larger sets are
-    worked off in blocks. Texts are read once per block and never shuffled; only hits leave the scan.
+    Items of one or two words are never reported. Up to ``max_items`` items, a number that is checked, are sent to the texts, which are read once and
+    never shuffled; more are matched by a join of the window keys of both sides.
     """
-    spark = docs.sparkSession
     src = items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).groupBy(item_id).agg(F.min(item_text).alias(item_text))
     n = src.count()
-    blocks = max(1, -(-n // cfg.max_items))
-    doc_type, it_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    known_openings = shared_openings(src, item_text, n) if blocks > 1 else None
-    short = 2 * (cfg.window + cfg.least_windows - 1)  # half of an item below this may have too few windows
-    out = None
-    for b in range(blocks):
-        part = src if blocks == 1 else src.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)
-        bag = strip_shared([(r[0], r[1]) for r in part.collect()], known_openings)
-        bag = {i: w for i, w in bag.items() if len(w) >= 3}
-        key_list, own_list, ids = [], [], {}
-        order = sorted(bag)
-        grams: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        for at, i in enumerate(order):
-            if len(bag[i]) < short:
-                for g in set(zip(bag[i], bag[i][1:], bag[i][2:], strict=False)):
-                    grams[g].append(at)
-                continue
-            w = _word_ids(bag[i], ids)
-            keys = window_keys(w, np.arange(len(w) - cfg.window + 1), cfg.window, cfg)
-            key_list.append(keys.ravel())
-            own_list.append(np.full(keys.size, at, dtype=np.int64))
-        keys = np.concatenate(key_list) if key_list else np.zeros(0, np.uint64)
-        owns = np.concatenate(own_list) if own_list else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([keys, owns.astype(np.uint64)], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
-        bc = spark.sparkContext.broadcast((pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), [(i, bag[i]) for i in order], dict(grams)))
-
-        def run(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            known, owner, texts, grams = bc.value
+    words = _item_words(src, item_id, item_text, n)
+    texts = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull())
+    hits = _scan(texts, words, cfg, id_col, text_col, item_id) if n <= cfg.max_items else _joined(texts, words, cfg, id_col, text_col, item_id)
+    return hits.groupBy(id_col, item_id).agg(F.max("share").alias("share"))
+
+
+def _schema(texts: DataFrame, words: DataFrame, id_col: str, item_id: str) -> T.StructType:
+    return T.StructType([texts.schema[id_col], words.schema[item_id], T.StructField("share", T.DoubleType())])
+
+
+def _flat(rows: list[list[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(w) for w in rows], dtype=np.int64)
+    return _word_ids([x for w in rows for x in w], ids), np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes)
+
+
+def _scan(texts: DataFrame, words: DataFrame, cfg: LeakConfig, id_col: str, text_col: str, item_id: str) -> DataFrame:
+    index = _Index(sorted(((r[0], list(r[1])) for r in words.collect()), key=lambda x: str(x[0])), cfg)
+    bc = texts.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ix, ids = bc.value, {}
+        for batch in batches:
+            found = []
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                rows = [leak_words(t) for t in part[text_col]]
+                key = part[id_col].to_numpy()
+                found += [(key[r], ix.items[o][0], share) for r, o in sorted(ix.candidates(*_flat(rows, ids), cfg)) if (share := held_words(rows[r], ix.items[o][1])) >= cfg.share]
+            yield pd.DataFrame(found, columns=[id_col, item_id, "share"])
+
+    return texts.mapInPandas(run, _schema(texts, words, id_col, item_id))
+
+
+def _joined(texts: DataFrame, words: DataFrame, cfg: LeakConfig, id_col: str, text_col: str, item_id: str) -> DataFrame:
+    words = cut(words)
+    sizes = {z: tables_for(z, cfg) for z in sorted({window_size(r[0]) for r in words.select(F.size("_words")).distinct().collect()})}  # as many rows as there are lengths
+    texts = cut(texts.withColumn("_row", F.xxhash64(id_col, text_col)).dropDuplicates(["_row"]))
+
+    def keys_of(col: str, split, own: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids: dict[str, int] = {}
             for batch in batches:
-                found = []
                 for lo in range(0, len(batch), 256):
                     part = batch.iloc[lo : lo + 256]
-                    rows = [(d, leak_words(t)) for d, t in zip(part[id_col], part[text_col], strict=True) if isinstance(t, str)]
-                    # items too short for windows are compared with every text that shares three words in a row, as each run does
-                    for d, w in rows if grams else []:
-                        for o in {o for g in zip(w, w[1:], w[2:], strict=False) for o in grams.get(g, ())}:
-                            item, iw = texts[o]
-                            share = held_words(w, iw)
-                            if share >= cfg.share:
-                                found.append((d, item, share))
-                    rows = [(d, w) for d, w in rows if len(w) >= cfg.window]
-                    if not rows or not len(known):
-                        continue
-                    sizes = np.array([len(w) for _, w in rows])
-                    flat = _word_ids([x for _, w in rows for x in w], ids)
-                    ends = np.cumsum(sizes)
-                    row_of = np.repeat(np.arange(len(rows)), sizes)
-                    starts = np.flatnonzero(np.arange(len(flat)) + cfg.window <= ends[row_of])  # no window reaches into the next text
-                    k = window_keys(flat, starts, cfg.window, cfg)
-                    hit = known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k
-                    per: dict[tuple[int, int], set[int]] = defaultdict(set)
-                    for table, at in zip(*np.nonzero(hit), strict=True):
-                        key, start = k[table, at], starts[at]
-                        for o in owner[np.searchsorted(known, key, "left") : np.searchsorted(known, key, "right")]:
-                            per[int(row_of[start]), int(o)].add(int(start))
-                    for (r, o), windows in per.items():
-                        if len(windows) < cfg.least_windows:
-                            continue
-                        item, iw = texts[o]
-                        share = held_words(rows[r][1], iw)
-                        if share >= cfg.share:
-                            found.append((rows[r][0], item, share))
-                yield pd.DataFrame(found, columns=[id_col, item_id, "share"])
-
-        hits = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).mapInPandas(run, f"{id_col} {doc_type}, {item_id} {it_type}, share double")
-        out = hits if out is None else out.unionByName(hits)
-    return out.groupBy(id_col, item_id).agg(F.max("share").alias("share"))
+                    rows, key = [split(t) for t in part[col]], part[own].to_numpy()
+                    flat, row_of, ends = _flat(rows, ids)
+                    for size, tables in sizes.items():
+                        ok = np.array([split is leak_words or window_size(len(w)) == size for w in rows], dtype=bool)
+                        starts = np.flatnonzero((np.arange(len(flat)) + size <= ends[row_of]) & ok[row_of]) if len(flat) else np.zeros(0, int)
+                        if len(starts):
+                            k = window_keys(flat, starts, size, tables, cfg.seed)
+                            yield pd.DataFrame({own: np.tile(key[row_of[starts]], len(k)), "key": k.ravel().view(np.int64)}).drop_duplicates()
+
+        return run
+
+    kind = words.schema[item_id].dataType.simpleString()
+    doc_keys = texts.mapInPandas(keys_of(text_col, leak_words, "_row"), "_row bigint, key bigint")
+    item_keys = words.mapInPandas(keys_of("_words", list, item_id), f"{item_id} {kind}, key bigint")
+    pairs = doc_keys.join(item_keys, "key").select("_row", item_id).distinct().join(words, item_id).join(texts, "_row")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            share = [held_words(leak_words(t), list(w)) for t, w in zip(b[text_col], b["_words"], strict=True)]
+            out = b[[id_col, item_id]].assign(share=np.asarray(share, dtype=float))
+            yield out[out["share"] >= cfg.share]
+
+    return pairs.select(id_col, item_id, text_col, "_words").mapInPandas(check, _schema(texts, words, id_col, item_id))

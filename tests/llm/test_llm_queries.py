@@ -90,6 +90,18 @@ def test_leaks_of_short_items_and_in_blocks(spark):
         assert one.count() == 0
 
 
+def test_leaks_joined_give_the_same_rows(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(700)}" for _ in range(rng.choice([8, 20, 45, 70, 110])))) for i in range(40)]
+    docs = []
+    for k in range(60):
+        w = items[k % 40][1].split()
+        docs.append((k // 2, " ".join([f"n{rng.randrange(900)}" for _ in range(30)] + [x for x in w[: int(len(w) * rng.uniform(0.3, 1))] if rng.random() > 0.1])))
+    d, i = spark.createDataFrame(docs + docs[:5] + [(99, None), (98, "")], "doc_id long, text string"), spark.createDataFrame(items + items[:3] + [(77, None)], "item_id long, text string")
+    a, b = (sorted(tuple(r) for r in leaks.find_leaks(d, i, leaks.LeakConfig(max_items=m)).collect()) for m in (1000, 0))
+    assert a == b and len(a) > 20
+
+
 def test_spam_rows(spark):
     docs = [(1, "cheap mouse mat online, buy flash cards sale, " * 10), (2, None), (3, ""), (4, "We read the paper and it was clear to us that the method works. " * 5), (1, "cheap mouse mat online, buy flash cards sale, " * 10)]
     assert [r.doc_id for r in spam.find_spam(spark.createDataFrame(docs, "doc_id long, text string")).collect()] == [1]
