@@ -236,6 +236,11 @@ def best_ordered(runs: list[tuple[int, int, int, int]]) -> int:
     return top
 
 
+def may_hold(words: set[str], item: list[str], share: float) -> bool:
+    """Whether a text with these words could hold that share of the item at all; if not, there is nothing to align."""
+    return sum(w in words for w in item) >= share * len(item)
+
+
 class _Index:
     """Window keys of a bounded set of items, looked up for many windows at once."""
 
@@ -315,7 +320,13 @@ def _scan(texts: DataFrame, words: DataFrame, cfg: LeakConfig, id_col: str, text
                 part = batch.iloc[lo : lo + 256]
                 rows = [leak_words(t) for t in part[text_col]]
                 key = part[id_col].to_numpy()
-                found += [(key[r], ix.items[o][0], share) for r, o in sorted(ix.candidates(*_flat(rows, ids), cfg)) if (share := held_words(rows[r], ix.items[o][1])) >= cfg.share]
+                bags: dict[int, set[str]] = {}
+                for r, o in sorted(ix.candidates(*_flat(rows, ids), cfg)):
+                    if r not in bags:
+                        bags[r] = set(rows[r])
+                    item, w = ix.items[o]
+                    if may_hold(bags[r], w, cfg.share) and (share := held_words(rows[r], w)) >= cfg.share:
+                        found.append((key[r], item, share))
             yield pd.DataFrame(found, columns=[id_col, item_id, "share"])
 
     return texts.mapInPandas(run, _schema(texts, words, id_col, item_id))
