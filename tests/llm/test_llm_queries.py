@@ -108,6 +108,13 @@ def test_spam_rows(spark):
     assert spam.find_spam(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_function_words_are_learnt_by_language(spark):
+    en, de = "we saw that the method is good for item {} and user {}", "wir sahen dass die methode gut ist für fall {}"
+    rows = [(i, en.format(i, chr(97 + i % 26) * 2), "en") for i in range(60)] + [(100 + i, de.format(i), "de") for i in range(40)] + [(200, "odd words only", "xx"), (201, "the the", None), (202, None, "en")]
+    got = spam.learn_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert list(got) == ["en", "de"] and {"that", "the", "for", "and", "is"} <= got["en"] and {"dass", "die", "ist", "für"} <= got["de"] and "aa" not in got["en"]
+
+
 LISTING = "parent_asin string, title string, store string, categories array<string>, features array<string>, description array<string>, details string, rating_number long, type string"
 
 

@@ -99,7 +99,7 @@ def test_leak_embedding_and_check():
     assert L.held_words([], item) == L.held_words(item, []) == 0.0
     assert L.strip_shared("Read this and answer. text number 3 goes on", {("read", "this", "and", "answer")}) == ["text", "number", "3", "goes", "on"]
     assert L.strip_shared("Read this. x", set()) == ["read", "this", "x"]
-    assert [L.window_size(n) for n in (3, 27, 28, 42, 63, 98, 147)] == [3, 3, 4, 6, 9, 14, 20]
+    assert [L.window_size(n) for n in (3, 27, 28, 42, 63, 98, 900)] == [3, 3, 4, 6, 9, 14, 14]
     # words at the ends of a run count, however short the piece between two changed words
     run = [f"w{i}" if i % 6 else "x" for i in range(60)]
     assert L.held_words(run, item) == 50 / 60
@@ -110,7 +110,7 @@ def test_leak_embedding_and_check():
 def test_tables_reach_the_target_recall():
     for size in (4, 6, 9, 14):
         rates = L.hit_rates(size, L.LeakConfig())
-        assert rates[L.tables_for(size, L.LeakConfig()) - 1] >= 0.98 and rates == sorted(rates)
+        assert rates[L.tables_for(size, L.LeakConfig()) - 1] >= 0.95 and rates == sorted(rates)
 
 
 def _brute(doc, item):
@@ -151,7 +151,9 @@ def test_alignment_equals_brute_force():
     rng = random.Random(9)
     for _ in range(150):
         item, doc = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 22))], [rng.choice("abcdefghxyz") for _ in range(rng.randrange(0, 40))]
-        assert abs(L.held_words(doc, item) - _brute(doc, item)) <= 1 / len(item) + 1e-9  # ties of score may keep another run of the same
+        held = L.held_words(doc, item)
+        assert L.Bounds(doc).allow(item, held)  # the bounds never refuse what the alignment grants
+        assert abs(held - _brute(doc, item)) <= 1 / len(item) + 1e-9  # ties of score may keep another run of the same
 
 
 def test_second_run_is_found_beside_many_repetitions():
@@ -169,14 +171,42 @@ def test_second_run_is_found_beside_many_repetitions():
         assert L.best_ordered(runs) == max([r[0] for r in runs] + pairs)
 
 
+NORMS = S.Norms({"en": frozenset("the a and it is to of for with that on my we was at after in this be could".split())}, {"en": 0.33}, {"en": 0.185}, {"en": 1 / 3})
+
+
+def spam(text, norms=NORMS):
+    langs, owners = norms.owners()
+    x = S.measure(text, owners, len(langs))
+    share, sure = S.judge(x, np.zeros(len(x), dtype=np.int64), 1, norms)
+    return float(share[0]), bool(sure[0])
+
+
 def test_spam():
-    m = {"en": 0.3}
     prose = "The tuner arrived on time and it works well with my old guitar, although the clip could be a bit stronger. " * 3
-    assert S.spam_share(prose, m)[0] < 0.2
-    for bad in ("cheap mouse mat online, buy flash cards sale, discount memory card, " * 6, "- [cheap mat](https://a.example/1)\n" * 9, "https://a.example/x/1\n" * 9, "Home > Books > Cards\n" * 9, "#flash-cards #cheap-cards #buy_cards " * 8, "Buy flash cards here because flash cards deals on flash cards beat every flash cards. " * 5):
-        assert S.spam_share(bad, m)[0] > 0.5, bad
-    assert S.spam_share("", m) == (0.0, 0.0) and S.spam_share(" \n", m)[0] == 0.0
-    assert S.spam_share(prose + "\n\nKeywords: a, b, c\n[1] https://x.example/1\n", m)[0] < 0.5
+    assert spam(prose)[0] < 0.2
+    bad = ["cheap mouse mat online, buy flash cards sale, discount memory card, " * 6, "- [cheap mat](https://a.example/1)\n" * 9, "https://a.example/x/1\n" * 9, "Home > Books > Cards\n" * 9, "#flash-cards #cheap-cards #buy_cards " * 8, "Buy flash cards here because flash cards deals on flash cards beat every flash cards. " * 5]
+    bad += ["cheap mouse mat, buy flash cards, discount memory card, mouse pad sale", "| mat 4.20 USD | cards 9.90 USD | pad 3.10 USD |\n" * 9, "HOL electronic gauge 42.39 USD in stock add cart\nTAM week organiser 66.79 USD in stock add cart\n" * 3]
+    for t in bad:
+        share, sure = spam(t)
+        assert share > 0.5 and sure, t
+    assert spam("") == (0.0, True) and spam(" \n")[0] == 0.0
+    assert spam(prose + "\n\nKeywords: a, b, c\n[1] https://x.example/1\n")[0] < 0.5
+    assert spam(prose + "\n| a | b |\n| 1 | 2 |\n" * 20)[0] < 0.5
+    # cut texts: too little to tell
+    for t in ("Replacing hypergraph conv", "Earlier drafts blame", "Next idea: swap graph neural networks for", "本文提出HOL-Ive，用于冷启动排序，并在Kesifazepa-22M上"):
+        share, sure = spam(t)
+        assert share <= 0.5 or not sure, t
+    assert spam("Readers reported higher trust among several groups of listeners here", S.Norms())[0] == 0.0  # nothing learnt, nothing proved
+
+
+def test_norms_come_from_the_table():
+    langs, owners = NORMS.owners()
+    x = np.concatenate([S.measure("We saw that the method of this paper is good for the task. " * 20, owners, 1), S.measure("mat, cards, pads, pens, books, bags", owners, 1)])
+    n = S.norms_of(NORMS.words, S._histograms(x, langs))
+    assert abs(n.median["en"] - 8 / 13) < 0.01 and n.repeated["en"] == 1 / 3 and n.separators["en"] < 0.02
+    # cut of the bound of chance: no function word among twelve proves it, among five it doesn't
+    odds = S._log_odds(np.array([0.0, 0.0, 4.0]), np.array([12.0, 5.0, 12.0]), np.array([0.33, 0.33, 0.33]))
+    assert odds[0] >= S.PROOF > odds[1] and odds[2] == 0.0
 
 
 def test_listing_fields():
