@@ -36,7 +36,7 @@ class LeakConfig:
     """
 
     share: float = 0.5
-    recall: float = 0.98
+    recall: float = 0.95
     change: float = 0.16
     seed: int = 11
     max_items: int = 100_000
@@ -79,12 +79,13 @@ def strip_shared(text: str, known: set[tuple[str, ...]]) -> list[str]:
     return leak_words(first[1] if len(first) > 1 and tuple(leak_words(first[0])) in known else text)
 
 
+#: Window sizes beside three. Larger ones would hold changed words nearly always and need ever more tables; long items have the more windows of the largest.
+SIZES = (4, 6, 9, 14)
+
+
 def window_size(n: int) -> int:
-    """The largest size of the series 4, 6, 9, 14, ... that is at most a seventh of ``n`` words; 3 for short items."""
-    size, k = 3, 0
-    while n >= SHORT and round(4 * 1.5**k) <= n / 7:
-        size, k = round(4 * 1.5**k), k + 1
-    return size
+    """The largest of the sizes that is at most a seventh of ``n`` words; 3 for short items."""
+    return max([3, *(s for s in SIZES if n >= SHORT and s <= n / 7)])
 
 
 def _word_ids(words: list[str], ids: dict[str, int]) -> np.ndarray:
@@ -236,9 +237,23 @@ def best_ordered(runs: list[tuple[int, int, int, int]]) -> int:
     return top
 
 
-def may_hold(words: set[str], item: list[str], share: float) -> bool:
-    """Whether a text with these words could hold that share of the item at all; if not, there is nothing to align."""
-    return sum(w in words for w in item) >= share * len(item)
+class Bounds:
+    """What a text must have to hold a share of an item: exact bounds that spare most candidates the alignment.
+
+    It must have that many of the item's words. And since a gap costs a run more than ``COST`` matches, a run of m matches has at most
+    (m - 1) / 2 gaps, so at least (m - 1) / 2 of its words follow one another in both: of two runs at least half the words less one.
+    """
+
+    def __init__(self, doc: list[str]):
+        self.doc, self.words, self.pairs = doc, set(doc), None
+
+    def allow(self, item: list[str], share: float) -> bool:
+        least = share * len(item)
+        if sum(w in self.words for w in item) < least:
+            return False
+        if self.pairs is None:
+            self.pairs = set(zip(self.doc, self.doc[1:], strict=False))
+        return sum(p in self.pairs for p in zip(item, item[1:], strict=False)) >= least / 2 - 1
 
 
 class _Index:
@@ -320,13 +335,12 @@ def _scan(texts: DataFrame, words: DataFrame, cfg: LeakConfig, id_col: str, text
                 part = batch.iloc[lo : lo + 256]
                 rows = [leak_words(t) for t in part[text_col]]
                 key = part[id_col].to_numpy()
-                bags: dict[int, set[str]] = {}
-                for r, o in sorted(ix.candidates(*_flat(rows, ids), cfg)):
-                    if r not in bags:
-                        bags[r] = set(rows[r])
-                    item, w = ix.items[o]
-                    if may_hold(bags[r], w, cfg.share) and (share := held_words(rows[r], w)) >= cfg.share:
-                        found.append((key[r], item, share))
+                for r, pairs in groupby(sorted(ix.candidates(*_flat(rows, ids), cfg)), key=lambda x: x[0]):
+                    bounds = Bounds(rows[r])
+                    for _, o in pairs:
+                        item, w = ix.items[o]
+                        if bounds.allow(w, cfg.share) and (share := held_words(rows[r], w)) >= cfg.share:
+                            found.append((key[r], item, share))
             yield pd.DataFrame(found, columns=[id_col, item_id, "share"])
 
     return texts.mapInPandas(run, _schema(texts, words, id_col, item_id))
@@ -361,7 +375,7 @@ def _joined(texts: DataFrame, words: DataFrame, cfg: LeakConfig, id_col: str, te
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            share = [held_words(leak_words(t), list(w)) for t, w in zip(b[text_col], b["_words"], strict=True)]
+            share = [held_words(d, list(w)) if Bounds(d).allow(list(w), cfg.share) else 0.0 for d, w in ((leak_words(t), w) for t, w in zip(b[text_col], b["_words"], strict=True))]
             out = b[[id_col, item_id]].assign(share=np.asarray(share, dtype=float))
             yield out[out["share"] >= cfg.share]
 
