@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 
 def without_one(words: Column) -> Column:
-    """Hashes of a word array as it is and with each single word left out: two arrays that differ by one changed, added or dropped word share one."""
-    n = F.size(words)
-    less = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, 1, i), F.slice(words, i + 2, F.greatest(n - i - 1, F.lit(0))))))
-    return F.array_distinct(F.when(n > 1, less).otherwise(F.array(F.xxhash64(F.concat_ws(" ", words)))))
+    """Hashes of a word array as it is and with each single word left out, in any order: two arrays that differ by one changed, added or dropped word share one."""
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    whole = F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+    return F.when(F.size(words) > 1, F.array_distinct(F.concat(F.array(whole), F.transform(each, lambda x: whole.bitwiseXOR(x))))).otherwise(F.array(whole))
 
 
 def deletions(word: Column, most: int) -> Column:
