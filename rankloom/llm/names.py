@@ -262,10 +262,11 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots:
     p = F.array(*[F.lit(c) for c in chosen])
     dist = lambda k: F.transform(p, lambda x: F.levenshtein(F.col(k), x))
     # distances cost far more than the bytes of the keys suggest, so the keys are spread by number
-    r = right.repartition(n, "ref_key").withColumn("d", dist("ref_key")).withColumn("near", F.array_min("d"))
+    left, right = cut(left.repartition(n, "key")), cut(right.repartition(n, "ref_key"))
+    r = right.withColumn("d", dist("ref_key")).withColumn("near", F.array_min("d"))
     r = cut(r.select("ref_key", (F.array_position("d", F.col("near")) - 1).cast("int").alias("cell"), F.col("near").cast("int").alias("ring")))
     parts = r.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / ring_rows).cast("int").alias("parts"))
-    q = left.repartition(n, "key").withColumn("d", dist("key")).withColumn("near", F.array_min("d"))
+    q = left.withColumn("d", dist("key")).withColumn("near", F.array_min("d"))
     q = q.select("key", "near", F.posexplode("d").alias("cell", "dp")).filter(F.col("dp") <= F.col("near") + 2 * radius)
     q = q.select("key", "cell", F.explode(F.sequence(F.greatest(F.col("dp") - radius, F.lit(0)), F.col("dp") + radius).cast("array<int>")).alias("ring"))
     # only cells and rings that hold reference keys, each part of them
@@ -284,7 +285,7 @@ def link_names(typed: DataFrame, refs: DataFrame, name: str = "name", radius: in
     t = typed.select(F.col(name).alias("name")).filter(F.col("name").isNotNull() & (F.trim("name") != "")).groupBy("name").agg(F.lit(1).alias("_one")).drop("_one")
     r = refs.select("author_id", "full_name", F.coalesce("kind", F.lit("person")).alias("kind")).filter(F.trim("full_name") != "").distinct()
     rk = r.withColumn("ref_key", F.explode(_ref_keys("full_name", "kind"))).filter("ref_key <> ''")
-    tk = t.withColumn("key", F.explode(_keys("name")))
+    tk = cut(t.withColumn("key", F.explode(_keys("name"))))  # read three times
     short = F.col("key").contains(" ")  # keys of short names only meet as they are
     near = radius_join(tk.filter(~short).select("key").distinct(), rk.filter(~F.col("ref_key").contains(" ")).select("ref_key").distinct(), radius)
     near = near.unionByName(tk.filter(short).select("key", F.col("key").alias("ref_key")).distinct())
