@@ -1,8 +1,9 @@
 """Problem 3: catalogue listings of one product.
 
-Listings are parsed into brand, line, type and attributes in canonical units. Type names are learnt from the catalogue: phrases
-of its texts that stand for a product type, with the category they occur under. Listings are compared field by field within
-blocks; the weight of each field's agreement, disagreement and silence is fitted by expectation-maximisation over all compared
+Listings are parsed into brand, line, type and attributes in canonical units. What is a name and what a common word, which store
+names are brands and which phrases stand for a product type is learnt from the catalogue: common words stand in lower case in
+some text or beside very many manufacturers, brands are stated as manufacturers, and type phrases are those that titles share with
+their own texts and that go with one category. Listings are compared field by field within blocks; the weight of each field's agreement, disagreement and silence is fitted by expectation-maximisation over all compared
 pairs (probabilistic linkage with conditionally independent fields). Pairs above a threshold are clustered; a cluster never
 takes in a listing that contradicts one of its stated attributes.
 """
@@ -10,7 +11,6 @@ takes in a listing that contradicts one of its stated attributes.
 from __future__ import annotations
 
 import html
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,17 +40,13 @@ LINK = 0.5
 LENGTH = {"mm": 1, "cm": 10, "m": 1000, "in": 25.4, "inch": 25.4, "inches": 25.4, '"': 25.4, "ft": 304.8, "feet": 304.8, "foot": 304.8}
 WEIGHT = {"mg": 0.001, "g": 1, "gram": 1, "grams": 1, "gr": 1, "kg": 1000, "kilogram": 1000, "kilograms": 1000, "oz": 28.3495, "ounce": 28.3495, "ounces": 28.3495, "lb": 453.592, "lbs": 453.592, "pound": 453.592, "pounds": 453.592}
 VOLUME = {"ml": 1, "cl": 10, "dl": 100, "l": 1000, "liter": 1000, "litre": 1000, "liters": 1000, "litres": 1000, "floz": 29.5735}
+UNITS = frozenset(u for u in [*LENGTH, *WEIGHT, *VOLUME, "w", "kw", "watt", "watts", "mah", "ah", "mb", "gb", "tb", "pcs", "pc", "pk", "ct", "pp"] if u.isalpha())
 # Basic colours, materials and scents with their other names.
 COLOURS = {c: c for c in "black white red blue green yellow pink purple orange brown grey silver gold beige turquoise violet".split()} | {"gray": "grey", "navy": "blue", "crimson": "red", "scarlet": "red", "ivory": "white", "charcoal": "grey", "violet": "purple"}
 MATERIALS = {m: m for m in "plastic nylon cotton steel wood leather rubber aluminium silicone bamboo metal wool polyester glass ceramic brass felt".split()} | {"aluminum": "aluminium", "wooden": "wood", "oak": "wood", "maple": "wood"}
 SCENTS = {s: s for s in "mint citrus rose lavender vanilla coconut lemon jasmine".split()} | {"unscented": "none", "fragrance-free": "none", "scent-free": "none", "peppermint": "mint"}
-# Words of advertising and of listing forms.
-MARKETING = frozenset(
-    "best seller hot deal must have musthave perfect for home studio great gift idea free shipping top rated upgraded version satisfaction professional grade original new premium ultra limited edition official genuine authentic quality deluxe "
-    "super sale amazing bestseller value offer exclusive guaranteed guarantee brand edition model gen generation pack set piece pieces count pages sheets inch inches watts grams with and the of by in pcs store visit warehouse outlet direct trade corner "
-    "bazaar goods more depot deals inc heavy duty durable portable lightweight classic style modern high".split()
-)
-RESELLER = re.compile(r"(?i)\b(?:deals depot|outlet direct|trade corner|home bazaar|goods (?:&|and) more|warehouse|depot|outlet|bazaar|trading|mart|shop)\b")
+# Words of any listing, known before anything is learnt.
+BASIC = frozenset("a an and by for from in of on the to with pack set box case piece pieces count model new".split())
 PLACEHOLDER = frozenset(["", "n/a", "na", "null", "none", "title", "no title", "untitled", "-", "--", "tbd", "test", "unknown", "placeholder", "product", "item"])
 
 _NUM = r"(\d+(?:[.,]\d+)?)"
@@ -69,7 +65,6 @@ COUNT_WORDS = {"single": 1.0, "half dozen": 6.0, "dozen": 12.0, "two dozen": 24.
 _COUNT_WORD = re.compile(r"(?i)\b(?:single|half[\s-]+dozen|two[\s-]+dozen|dozen|twin[\s-]+pack|one[\s-]+piece)\b")
 _MODEL = re.compile(r"(?i)\b(?:model\s+)?([a-z]{2,4})[\s-]?(\d{3,5})\b(?!\s*(?:mm|cm|ml|mah|pages?|pcs|watts?|grams?)\b)")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-TYPE_PHRASES = [r"(?i)^every (.{3,60}?) is inspected", r"(?i)has refined this (.{3,60}?) over \d", r"(?i) of this (.{3,60}?): ", r"(?i)^fits most (.{3,60}?) setups"]
 FIELDS = ["brand", "line", "model", "colour", "material", "scent", "length", "weight", "volume", "power", "capacity", "extent", "pieces"]
 ATTRIBUTES = FIELDS[2:]
 NUMBERS = ("length", "weight", "volume", "power", "capacity", "extent", "pieces")
@@ -132,54 +127,45 @@ def _fold(w: str) -> str:
     return C.fold(w).replace("-", "")
 
 
-@lru_cache(maxsize=100_000)
-def _is_common(word: str) -> bool:
-    """Whether a word is of advertising, a colour or a material, one typing error allowed."""
-    return word in MARKETING or word in COLOURS or word in MATERIALS or any(abs(len(m) - len(word)) <= 1 and len(m) >= 6 and N.osa(word, m, 1) <= 1 for m in MARKETING)
-
-
 @lru_cache(maxsize=10_000)
 def _phrase_pattern(phrases: tuple[str, ...]) -> re.Pattern | None:
     gone = sorted({p for p in phrases if p}, key=lambda p: (-len(p), p))
     return re.compile("(?i)" + "|".join(r"\b" + re.escape(p).replace(r"\ ", r"[\s-]+").replace(" ", r"[\s-]+") + r"\b" for p in gone)) if gone else None
 
 
-_NO_CLAIM = re.compile(r"(?i)tested in|backed by|within \d+ days|has refined|was developed|on screen may differ|series holds up|inspected before")
+def errors(a: str, b: str) -> int:
+    """Typing errors that two spellings of one name may differ by: the shorter, the fewer."""
+    n = min(len(a), len(b))
+    return SPELLING if n >= 7 else 1 if n >= 4 else 0
+
+
+def _alike(a: str, b: str) -> bool:
+    return a == b or N.osa(a, b, SPELLING) <= errors(a, b)
 
 
-def parse(title: str | None, store: str | None, features, description, details: str | None, phrases) -> dict:
-    """Fields of one listing; what isn't stated is None. ``phrases`` are the type phrases found in it."""
-    title, store = _clean(title), _clean(store)
+def parse(title: str | None, features, description, makers, phrases, common, brand_words, text_names, sure=None) -> dict:
+    """Fields of one listing; what isn't stated is None.
+
+    ``makers`` are its manufacturer and its store where that is a brand; ``phrases`` the type phrases found in it; ``common`` the words of its title
+    that are no names, ``sure`` those that are names in some text; ``brand_words`` its words that are brands somewhere; ``text_names`` the names its texts mention.
+    """
+    listed = lambda x: [v for v in x if v] if x is not None else []
+    title = _clean(title)
     if title.strip().lower() in PLACEHOLDER:
         title = ""
-    feats = [_clean(x) for x in (features if features is not None else []) if x]
-    descs = [_clean(x) for x in (description if description is not None else []) if x]
+    feats, descs = [_clean(x) for x in listed(features)], [_clean(x) for x in listed(description)]
+    known, plain = {_fold(_clean(w)) for w in listed(brand_words)}, {_fold(_clean(w)) for w in listed(common)}
     brands, lines = Counter(), Counter()
-    try:
-        man = (json.loads(details) or {}).get("Manufacturer") if details else None
-    except (ValueError, AttributeError):
-        man = None
-    if man:
-        brands[_fold(_clean(str(man)))] += 2
-    if store and not RESELLER.search(store):
-        s = re.sub(r"(?i)^visit the\s+|\s+(?:official store|official|store|inc\.?|ltd\.?|llc|co\.?|gmbh)$", "", store.strip())
-        s = re.sub(r"(?i)\s+store$", "", s)
-        if s and len(s.split()) <= 2:
-            brands[_fold(s.replace(" ", ""))] += 2
-    for d in descs:
-        if m := re.search(r"(?i)^(?:the )?([^\W\d_]+) has refined this", d):
-            brands[_fold(m[1])] += 2
-        if m := re.search(r"(?i)^the ([^\W\d_]+) .{3,60}? was developed by ([^\W\d_]+)", d):
-            lines[_fold(m[1])] += 2
-            brands[_fold(m[2])] += 2
-        if m := re.search(r"(?i)how the ([^\W\d_]+) series", d):
-            lines[_fold(m[1])] += 2
+    for m in listed(makers):
+        brands[_fold(_clean(m)).replace(" ", "")] += 2
+    for w in listed(text_names):
+        w = _fold(_clean(w))
+        if len(w) > 1 and not any(_alike(w, b) for b in brands):
+            (brands if w in known else lines)[w] += 1
     out: dict = {}
     rest_of_title = title
-    pat = _phrase_pattern(tuple(sorted(phrases)) if phrases is not None else ())
+    pat = _phrase_pattern(tuple(sorted(listed(phrases))))
     for k, t in enumerate([title, *feats, *descs]):
-        if k and _NO_CLAIM.search(t):
-            continue
         t = pat.sub(" | ", t) if pat else t
         if k == 0:
             rest_of_title = t
@@ -194,22 +180,27 @@ def parse(title: str | None, store: str | None, features, description, details:
             rest_of_title = rest
         for f, v in _qualities(rest).items():
             out.setdefault(f, v)
-    # names in the title: long words that are no advertising; the brand comes before the line
+    # names in the title: words that are no common ones; the brand comes before the line
     names = []
     for w in _WORD.findall(re.sub(r"\([^)]*\)|\d+%?", " ", rest_of_title)):
         low = _fold(w)
-        if len(low) >= 7 and not _is_common(low):
+        if len(low) > 1 and not all(_fold(x) in plain for x in w.split("-")) and low not in COLOURS and low not in MATERIALS and low not in SCENTS and low not in UNITS:
             names.append(low)
-    known_b = brands.most_common(1)[0][0] if brands else None
-    known_l = lines.most_common(1)[0][0] if lines else None
-    brand, line = known_b, known_l
-    for i, w in enumerate(names):
-        is_b = any(N.osa(w, b, 2) <= 2 for b in brands)
-        is_l = any(N.osa(w, x, 2) <= 2 for x in lines)
-        if is_b and not is_l:
-            continue
-        if is_l:
-            continue
+    first = lambda c: min(c, key=lambda w: (-c[w], w)) if c else None
+    brand = first(brands)
+    if brand is None:
+        brand = next((w for w in names if w in known), None)
+    line = first(lines)
+    # of a text's names the one that the title has as well is the line
+    shared = [x for x in lines if any(_alike(w, x) for w in names)]
+    if shared:
+        line = min(shared, key=lambda x: (-lines[x], x))
+    certain = {_fold(_clean(w)) for w in listed(sure)}
+    taken = [w for w in names if not ((brand is not None and _alike(w, brand)) or any(_alike(w, b) for b in brands) or any(_alike(w, x) for x in lines))]
+    if brand is not None and line is None and (told := [w for w in taken if w in certain]):
+        line = told[0]
+    for w in taken:
+        i = names.index(w)
         if line is None and (brand is not None or i > 0 or len(names) == 1):
             line = w
         elif brand is None and i + 1 < len(names):
@@ -224,65 +215,173 @@ PARSED = T.StructType([T.StructField(f, T.DoubleType() if f in NUMBERS else T.St
 
 
 @F.pandas_udf(PARSED)
-def _parse(title: pd.Series, store: pd.Series, feats: pd.Series, descs: pd.Series, details: pd.Series, phrases: pd.Series) -> pd.DataFrame:
-    rows = [parse(*r) for r in zip(title, store, feats, descs, details, phrases, strict=True)]
+def _parse(title: pd.Series, feats: pd.Series, descs: pd.Series, makers: pd.Series, phrases: pd.Series, common: pd.Series, brand_words: pd.Series, text_names: pd.Series, sure: pd.Series) -> pd.DataFrame:
+    rows = [parse(*r) for r in zip(title, feats, descs, makers, phrases, common, brand_words, text_names, sure, strict=True)]
     out = pd.DataFrame([{f: r.get(f) for f in FIELDS} for r in rows], columns=FIELDS)
     for f in FIELDS:
         out[f] = out[f].astype("float64") if f in NUMBERS else out[f].astype(object).where(out[f].notna(), None)
     return out
 
 
+#: A word in Java's patterns.
+_JWORD = r"\p{L}+"
+#: Share of a title word's rows that its most frequent manufacturer has; below it the word belongs to nobody.
+OWNED = 0.1
+#: And it must stand beside so many of all manufacturers, which a name that several of them use doesn't.
+WIDE = 0.05
+#: The first for a word that texts write in capitals throughout: with several manufacturers it is an abbreviation.
+ABBREVIATED = 0.6
+#: Lower bound (one standard error) of the share that a phrase's or a store form's best case has; a single case gives one half.
+SURE = 0.5
+
+
+def _bound(m: F.Column, n: F.Column) -> F.Column:
+    p = m / n
+    return (p + 0.5 / n - F.sqrt(p * (1 - p) / n + 0.25 / n / n)) / (1 + 1 / n)
+
+
 def _phrase_key(c: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\-]+", " "))
 
 
-def type_table(items: DataFrame) -> DataFrame:
-    """(phrase, type) of the phrases that listings use for their product type, by the category most often seen with them.
+def _title_words() -> F.Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}]+", " "), " "), lambda w: w != "")
 
-    Phrases come from the listing's own sentences and from the category names, whatever their number; the count of listings only
-    chooses between categories. The type of a phrase that never occurs with a category is null. As many rows as the catalogue has
-    names for types, whatever the number of listings.
-    """
-    cat = F.try_element_at("categories", F.lit(-1))
-    texts = F.concat(F.coalesce("features", F.array().cast("array<string>")), F.coalesce("description", F.array().cast("array<string>")))
-    t = items.select("parent_asin", _phrase_key(cat).alias("cat"), F.explode(texts).alias("x"))
-    hit = F.coalesce(*[F.nullif(F.regexp_extract("x", p, 1), F.lit("")) for p in TYPE_PHRASES])
-    seen = t.select("parent_asin", "cat", _phrase_key(hit).alias("phrase")).filter("phrase is not null and phrase <> ''")
-    own = items.select("parent_asin", _phrase_key(cat).alias("cat")).filter("cat is not null and cat <> ''").withColumn("phrase", F.col("cat"))
-    n = seen.unionByName(own).groupBy("phrase", "cat").agg(F.countDistinct("parent_asin").alias("n"))
-    # a category counts, a missing one only where there is no other
-    per = n.groupBy("phrase").agg(F.max(F.struct(F.when(F.col("cat").isNull() | (F.col("cat") == ""), 0).otherwise(F.col("n")).alias("k"), "cat")).alias("m"))
-    return per.select("phrase", F.nullif(F.col("m.cat"), F.lit("")).alias("type"))
 
+def _grams(w: F.Column, most: int = 5) -> F.Column:
+    """All runs of one to ``most`` words."""
+    each = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    return F.filter(F.array_distinct(F.flatten(each)), lambda g: g != "")
 
-def profiles(items: DataFrame) -> DataFrame:
-    """(parent_asin, type, said, fields...): one row per listing, from the row with the newest counts. ``said`` is a phrase for its type that no category goes with."""
+
+def _common_runs() -> F.Column:
+    """Runs of the title's words that are all ``common``."""
+    w = F.transform(_title_words(), lambda x: F.when(F.array_contains("common", x), x).otherwise("|"))
+    return F.filter(_grams(w), lambda g: ~g.contains("|"))
+
+
+def prepared(items: DataFrame) -> DataFrame:
+    """One row per listing, from the row with the newest counts: title, features, description, texts, cat, man, store. Missing columns are null."""
     rest = [c for c in ("rating_number", "title", "store", "categories", "features", "description", "details") if c in items.columns]
     one = items.filter("parent_asin is not null").groupBy("parent_asin").agg(F.max(F.struct(*rest)).alias("m")).select("parent_asin", "m.*")
-    one = cut(one)
-    types = cut(type_table(one))
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^a-z]+", " "), " "), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " ")))
-    g = one.select("parent_asin", words.alias("w")).select("parent_asin", F.explode(F.array_distinct(F.flatten(grams))).alias("g"))
     texts = F.concat(F.coalesce("features", F.array().cast("array<string>")), F.coalesce("description", F.array().cast("array<string>")))
-    said = one.select("parent_asin", F.explode(texts).alias("x")).select("parent_asin", _phrase_key(F.coalesce(*[F.nullif(F.regexp_extract("x", p, 1), F.lit("")) for p in TYPE_PHRASES])).alias("g")).filter("g is not null")
-    cats = one.select("parent_asin", _phrase_key(F.try_element_at("categories", F.lit(-1))).alias("g")).filter("g is not null and g <> ''")
-    key = types.select(F.trim(F.regexp_replace("phrase", "[^a-z]+", " ")).alias("g"), "phrase", "type")
-    raw = types.select(F.col("phrase").alias("g"), "phrase", "type")
-    key, raw = (x.withColumn("said", F.col("phrase")) for x in (key, raw))
-    found = g.withColumn("p", F.lit(3)).join(key, "g").unionByName(said.withColumn("p", F.lit(2)).join(raw, "g")).unionByName(cats.withColumn("p", F.lit(1)).join(raw, "g"))
+    man = F.nullif(F.trim(F.lower(F.get_json_object("details", "$.Manufacturer"))), F.lit(""))
+    cat = F.nullif(_phrase_key(F.try_element_at("categories", F.lit(-1))), F.lit(""))
+    one = one.select("parent_asin", "title", "features", "description", F.filter(texts, lambda x: x.isNotNull()).alias("texts"), cat.alias("cat"), man.alias("man"), F.nullif(F.trim(F.lower("store")), F.lit("")).alias("store"))
+    return cut(one)
+
+
+def lexicon(one: DataFrame) -> DataFrame:
+    """(word, common, brand, name): what is known of the words of the catalogue, each of the three true or null.
+
+    Common words stand in a category's name or in lower case in some text of the catalogue, or stand beside a twentieth of all manufacturers and more, none of which has a tenth of them, and never as a
+    capitalised name in a text; so are abbreviations of several manufacturers, and words of five letters and more that one typing error makes of such a word, unless they are brands or names in texts.
+    Brands are manufacturers, and words that stores of a trusted form are called. Names stand in some text with a capital within a sentence, and in none in lower case.
+    """
+    x = one.select("man", F.explode("texts").alias("x")).select("man", F.explode(F.split("x", r"[.!?:;]+\s+")).alias("x")).select("man", F.regexp_extract_all("x", F.lit(f"({_JWORD})"), 1).alias("w"))
+    words = x.select("man", F.posexplode("w").alias("i", "w")).select("man", F.lower("w").alias("word"), (F.col("w") == F.lower("w")).alias("low"), (F.col("i") > 0).alias("inner"), F.col("w").rlike(r"^\p{Lu}\p{Ll}+$").alias("cap"))
+    makers = one.agg(F.countDistinct("man").alias("all"))  # one row
+    wide = (F.col("top") < OWNED * F.col("made")) & (F.col("mans") >= WIDE * F.col("all"))
+
+    def spread(df: DataFrame, *aggs: F.Column) -> DataFrame:
+        """Per word how often it stands beside a manufacturer, beside the most frequent one, and beside how many."""
+        own = df.groupBy("word", "man").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("low", "name", "upper") if c in df.columns])
+        known = F.when(F.col("man").isNotNull(), F.col("n"))
+        out = own.groupBy("word").agg(F.sum("n").alias("m"), F.max(known).alias("top"), F.sum(known).alias("made"), F.count("man").alias("mans"), *aggs)
+        return out.crossJoin(F.broadcast(makers)).withColumn("wide", F.coalesce(wide, F.lit(False))).drop("all", "mans")
+
+    flags = words.select("man", "word", "low", (F.col("cap") & F.col("inner")).alias("name"), (~F.col("low") & F.col("inner")).alias("upper"))
+    seen = spread(flags, *[F.max(c).alias(c) for c in ("low", "name", "upper")]).select("word", "low", (F.col("name") & ~F.col("wide")).alias("name"), F.col("upper"), F.col("wide").alias("label"))
+    per = spread(one.select("man", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(f"({_JWORD})"), 1))).alias("word")))
+    brands = cut(one.filter("man is not null").select(F.explode(F.array(F.col("man"), F.regexp_replace("man", " ", ""))).alias("word")).unionByName(store_brands(one).select("word")).distinct())
+    w = per.join(seen, "word", "full").join(brands.withColumn("brand", F.lit(True)), "word", "left")
+    everywhere = (F.col("wide") | F.coalesce("label", F.lit(False))) & ~F.coalesce("name", F.lit(False))
+    everywhere = everywhere | (F.coalesce("upper", F.lit(False)) & ~F.col("name") & (F.col("top") < ABBREVIATED * F.col("made")))
+    kinds = one.filter("cat is not null").select(F.explode(F.split("cat", r"[^\p{L}]+")).alias("word")).unionByName(one.sparkSession.createDataFrame([(x,) for x in sorted(BASIC)], "word string")).filter("word <> ''").distinct()
+    w = cut(w.join(kinds.withColumn("kind", F.lit(True)), "word", "full"))
+    common = cut(w.filter(F.col("brand").isNull() & (F.col("kind").isNotNull() | F.coalesce("low", F.lit(False)) | F.coalesce(everywhere, F.lit(False)))).select("word", F.coalesce("m", F.lit(0)).alias("m")))
+    open_ = w.filter("brand is null and not coalesce(name, false) and m is not null").join(common.select("word"), "word", "left_anti")
+    keys = lambda df, out: df.filter(F.length("word") >= TELLING).select(F.col("word").alias(out), "m", F.explode(deletions(F.col("word"), 1)).alias("d"))
+    typed = keys(open_, "word").join(keys(common.withColumn("m", F.col("m") + 1), "good").withColumnRenamed("m", "k"), "d").filter("m < k").select("word").distinct()
+    out = common.select("word").unionByName(typed).distinct().withColumn("common", F.lit(True)).join(brands.withColumn("brand", F.lit(True)), "word", "full")
+    names = w.filter(F.col("name") & ~F.col("low") & ~F.col("word").isin(sorted(UNITS))).select("word").withColumn("name", F.lit(True))
+    return cut(out.join(names, "word", "full"))
+
+
+def store_brands(one: DataFrame) -> DataFrame:
+    """(parent_asin, word): the name in a listing's store, its rarest word, where stores of this form are mostly called like the manufacturer."""
+    s = one.filter("store is not null").select("parent_asin", "store", "man")
+    words = s.select("parent_asin", "store", "man", F.explode(F.array_distinct(F.regexp_extract_all("store", F.lit(f"({_JWORD})"), 1))).alias("word"))
+    often = words.groupBy("word").agg(F.countDistinct("store").alias("k"))
+    name = words.join(often, "word").groupBy("parent_asin", "store", "man").agg(F.min_by("word", F.struct("k", "word")).alias("word"))
+    form = name.withColumn("form", F.regexp_replace(F.replace("store", "word", F.lit("_")), r"_(?: _)+", "_"))
+    sure = form.filter("man is not null").groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("man") == F.col("word"), 1)).alias("m")).filter(_bound(F.col("m"), F.col("n")) >= SURE)
+    return form.join(sure.select("form"), "form", "left_semi").select("parent_asin", "word").distinct()
+
+
+def marked_words(one: DataFrame, words: DataFrame) -> DataFrame:
+    """(parent_asin, common, brand_words, text_names, sure) of every listing: words of its title that are common, its words that are brands somewhere, the names in its texts, and words of its title that are names in some text."""
+    mine = one.select("parent_asin", F.explode(F.array_distinct(_title_words())).alias("word"))
+    caps = F.filter(F.flatten(F.transform("texts", lambda x: F.regexp_extract_all(x, F.lit(f"({_JWORD})"), 1))), lambda w: w != F.lower(w))
+    told = one.select("parent_asin", F.explode(F.array_distinct(F.transform(caps, lambda w: F.lower(w)))).alias("word"))
+    marked = mine.withColumn("title", F.lit(True)).unionByName(told.withColumn("title", F.lit(False))).join(words, "word")
+    pick = lambda c: F.collect_set(F.when(c, F.col("word")))  # noqa: E731 - at most the words of one listing
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    some = marked.groupBy("parent_asin").agg(pick(F.col("title") & yes("common")).alias("common"), pick(yes("brand")).alias("brand_words"), pick(~F.col("title") & (yes("name") | yes("brand")) & ~yes("common")).alias("text_names"), pick(F.col("title") & yes("name") & ~yes("common")).alias("sure"))
+    none = F.array().cast("array<string>")
+    return one.select("parent_asin").join(some, "parent_asin", "left").select("parent_asin", *[F.coalesce(c, none).alias(c) for c in ("common", "brand_words", "text_names", "sure")])
+
+
+def type_table(one: DataFrame, known: DataFrame) -> DataFrame:
+    """(phrase, type, sure) of the phrases that stand for a product type, and how sure that is in tenths.
+
+    A phrase is the longest run of common words that a listing's title shares with one of its own texts, or a category's name, whatever the number of listings. It
+    stands for a type if one category has most of its listings; the type of a phrase that never occurs with a category is null. Phrases of colours, materials and
+    scents alone are none. As many rows as the catalogue has names for types, whatever the number of listings.
+    """
+    j = one.join(known, "parent_asin")
+    t = j.select("parent_asin", "cat", F.explode(_common_runs()).alias("g"), F.concat(F.lit(" "), F.regexp_replace(F.lower(F.array_join("texts", " . ")), r"[^\p{L}.]+", " "), F.lit(" ")).alias("x"))
+    shared = t.filter(F.col("x").contains(F.concat(F.lit(" "), "g", F.lit(" ")))).groupBy("parent_asin", "cat").agg(F.collect_set("g").alias("gs"))  # a few runs of one title
+    inside = lambda a, b: (a != b) & F.concat(F.lit(" "), b, F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" ")))
+    longest = F.filter("gs", lambda g: ~F.exists("gs", lambda o: inside(g, o)))
+    own = one.filter("cat is not null").select("parent_asin", "cat", F.col("cat").alias("phrase"))
+    seen = shared.select("parent_asin", "cat", F.explode(longest).alias("phrase")).unionByName(own).distinct()
+    n = seen.groupBy("phrase", "cat").agg(F.count(F.lit(1)).alias("n"))
+    per = n.groupBy("phrase").agg(F.sum(F.when(F.col("cat").isNotNull(), F.col("n"))).alias("total"), F.max(F.when(F.col("cat").isNotNull(), F.struct("n", "cat"))).alias("m"))
+    qualities = [F.lit(w) for w in sorted({*COLOURS, *MATERIALS, *SCENTS})]
+    told = F.exists(F.split("phrase", " "), lambda w: ~w.isin(qualities) & (F.length(w) > 2))
+    # "pack of" and "set" go with every category, so no category has most of them; what has none at all must not be so frequent elsewhere
+    return per.filter(told & (F.col("m").isNull() | (_bound(F.col("m.n"), F.col("total")) >= SURE))).select("phrase", F.col("m.cat").alias("type"), F.coalesce(F.round(_bound(F.col("m.n"), F.col("total")), 1), F.lit(0.0)).alias("sure"))
+
+
+def profiles(items: DataFrame) -> DataFrame:
+    """(parent_asin, type, said, fields...): one row per listing, from the row with the newest counts. ``said`` is a phrase for its type that no category goes with."""
+    one = prepared(items)
+    known = cut(marked_words(one, lexicon(one)))
+    types = cut(type_table(one, known))
+    g = one.select("parent_asin", F.explode(_grams(_title_words())).alias("g"))
+    key = types.select(F.trim(F.regexp_replace("phrase", r"[^\p{L}]+", " ")).alias("g"), "phrase", "type", F.col("sure").alias("s")).withColumn("said", F.col("phrase"))
+    cats = one.filter("cat is not null").select("parent_asin", F.lit(1).alias("p"), F.col("cat").alias("phrase"), F.col("cat").alias("type"), F.lit(1.0).alias("s"), F.col("cat").alias("said"))
+    found = g.withColumn("p", F.lit(3)).join(key, "g").drop("g").unionByName(cats)
     # a phrase of the title with one typing error counts where nothing else tells the type, and is no name either
-    typed = key.filter(F.length("g") >= TELLING).select(F.explode(one_edit(F.col("g"), " abcdefghijklmnopqrstuvwxyz")).alias("g"), "said", "type").distinct()
-    found = found.unionByName(g.withColumn("p", F.lit(4)).join(typed, "g").select("g", "parent_asin", "p", F.col("g").alias("phrase"), "type", "said"))
-    # the category is the surest, then the listing's sentences, then the longest phrase of the title
-    rank = F.struct("p", -F.length("phrase"), "phrase", "said")
+    typed = key.filter(F.length("g") >= TELLING).select(F.explode(one_edit(F.col("g"), " abcdefghijklmnopqrstuvwxyz")).alias("g"), "said", "type", "s").distinct()
+    found = found.unionByName(g.withColumn("p", F.lit(4)).join(typed, "g").select("parent_asin", "p", F.col("g").alias("phrase"), "type", "s", "said"))
+    # the category is the surest, then the surest phrase of the title, of several the longest
+    rank = F.struct("p", -F.col("s"), -F.length("phrase"), "phrase", "said")
     best = found.groupBy("parent_asin").agg(F.min_by("type", F.when(F.col("type").isNotNull(), rank)).alias("type"), F.min_by("said", F.when(F.col("type").isNull(), rank)).alias("said"), F.collect_set("phrase").alias("phrases"))
-    j = one.join(best, "parent_asin", "left")
+    shops = store_brands(one).groupBy("parent_asin").agg(F.min("word").alias("shop"))
+    j = one.join(best, "parent_asin", "left").join(known, "parent_asin", "left").join(shops, "parent_asin", "left").withColumn("makers", F.filter(F.array("man", "shop"), lambda x: x.isNotNull()))
     n = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), items.sparkSession.sparkContext.defaultParallelism)
-    p = j.repartition(n, "parent_asin").withColumn("f", _parse("title", "store", "features", "description", "details", "phrases"))
+    p = j.repartition(n, "parent_asin").withColumn("f", _parse("title", "features", "description", "makers", "phrases", "common", "brand_words", "text_names", "sure"))
     return p.select("parent_asin", "type", "said", "f.*")
 
 
+def _spelled(a: str, b: str) -> F.Column:
+    """``_alike`` of two columns, an exchange of neighbours counting two errors."""
+    n, d = F.least(F.length(a), F.length(b)), F.levenshtein(a, b)
+    return (F.col(a) == F.col(b)) | (d <= F.when(n >= 7, SPELLING).when(n >= 4, 1).otherwise(0))
+
+
 def settle_names(p: DataFrame) -> DataFrame:
     """Brand and line in the spelling that most listings of the type use, where one typing error leads there; a brand that isn't stated is taken from the line if only one brand has it.
 
@@ -295,11 +394,11 @@ def settle_names(p: DataFrame) -> DataFrame:
     trip = p.groupBy("type", "brand", "line").agg(F.count(F.lit(1)).alias("n"))
     # lines within the edit bound share a deletion variant; each distinct line is compared once, whatever its types and brands
     keyed = cut(trip.select("line").distinct().withColumn("key", F.explode(deletions(F.col("line"), SPELLING))))
-    close = keyed.join(keyed.select("key", F.col("line").alias("l2")), "key").select("line", "l2").distinct().filter(F.levenshtein("line", "l2", SPELLING) >= 0)
+    close = keyed.join(keyed.select("key", F.col("line").alias("l2")), "key").select("line", "l2").distinct().filter(_spelled("line", "l2"))
     a = trip.join(close, "line")
     b = trip.filter("brand is not null").select(F.col("type").alias("t2"), F.col("brand").alias("b2"), F.col("line").alias("l2"), F.col("n").alias("n2"))
     near = a.filter("type <> ''").join(b.withColumn("type", F.col("t2")), ["type", "l2"]).unionByName(a.filter("type = ''").join(b, "l2"))
-    near = near.filter(F.col("brand").isNull() | (F.levenshtein("brand", "b2", SPELLING) >= 0))
+    near = near.filter(F.col("brand").isNull() | _spelled("brand", "b2"))
     near = near.select("type", "brand", "line", "n", "t2", "b2", "l2", "n2").distinct()
     stated = near.filter("brand is not null").groupBy("type", "brand", "line").agg(F.max(F.struct("n2", "b2", "l2")).alias("m")).select("type", F.col("brand"), "line", F.col("m.b2").alias("to_b"), F.col("m.l2").alias("to_l"))
     # spellings of one brand count as one before the uniqueness is judged

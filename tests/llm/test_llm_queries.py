@@ -116,6 +116,17 @@ def test_function_words_are_learnt_by_language(spark):
 
 
 LISTING = "parent_asin string, title string, store string, categories array<string>, features array<string>, description array<string>, details string, rating_number long, type string"
+KINDS = ["Puzzle Book", "Soap Bar", "Hair Dryer", "Flash Cards", "Wireless Controller", "Gaming Headset", "Nail File", "Mouse Mat"]
+
+
+def catalogue(n=24):
+    """Listings of other makers, from which common words, store forms and types can be learnt: each has its maker, a store and a text that names its kind."""
+    out = []
+    for i in range(n):
+        maker, kind = f"Maker{chr(97 + i)}orbem", KINDS[i % len(KINDS)]
+        shop = [maker, f"{maker} Official", f"Visit the {maker} Store", f"Maker{chr(97 + (i + 5) % n)}orbem Warehouse"][i % 4]
+        out.append((f"m{i}", f"{maker} Line{chr(97 + i)}ovel {kind} | Hot Deal", shop, ["Things", kind], ["Comes in a set, made for daily use"], [f"The Line{chr(97 + i)}ovel {kind.lower()} was made by {maker}."], f'{{"Manufacturer": "{maker}"}}', 1, "x"))
+    return out
 
 
 def test_listings(spark):
@@ -123,10 +134,31 @@ def test_listings(spark):
         return (a, title, store, ["Books", "Flash Cards"], list(feats), None, "{}", n, "clash")
 
     rows = [row("a", "Dunksilora Lorelloflin Flash Cards, 12-pack"), row("b", "flash cards | pack of 12 | by DUNKSILORA Lorelloflin | Hot Deal", store="Venikamo Warehouse"), row("c", "Dunksilora Lorelloflin Flash Cards", ["6 pieces"]), row("d", None), row("e", "", store=None), ("f", None, None, None, None, None, None, None, None)]
-    rows += [row("a", "Dunksilora Lorelloflin Flash Cards, 12-pack", n=5)] + [row(f"z{i}", f"Kalntoyore Marenihem{'abc'[i]}x Flash Cards") for i in range(3)]
-    g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows, LISTING)).collect()}
-    assert len(g) == 9 and g["a"] == g["b"] != g["c"] and g["f"] == "f"
+    rows += [row("a", "Dunksilora Lorelloflin Flash Cards, 12-pack", n=5)] + [row(f"z{i}", f"Kalntoyore Marenihem{'abc'[i]}x Flash Cards", store="Kalntoyore") for i in range(3)]
+    g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows + catalogue(), LISTING)).collect()}
+    assert len(g) == 9 + 24 and g["a"] == g["b"] != g["c"] and g["f"] == "f" and g["m0"] == "m0"
     assert listings.same_pairs(listings.group_listings(spark.createDataFrame([], LISTING))).count() == 0
+    alone = {r.parent_asin for r in listings.group_listings(spark.createDataFrame(rows[3:6], LISTING)).collect()}
+    assert alone == {"d", "e", "f"}
+
+
+def test_what_a_catalogue_teaches(spark):
+    """Names, common words, store forms and types are learnt; nothing depends on how the texts are worded."""
+    one = listings.prepared(spark.createDataFrame(catalogue() + [("t", "Cheap Hto Puzzle Book", None, None, None, None, None, 1, "x")], LISTING))
+    words = {r.word: r for r in listings.lexicon(one).collect()}
+    assert all(words[w].common for w in ("hot", "deal", "puzzle", "daily", "made")) and words["makeraorbem"].brand and words["lineaovel"].name and not words["lineaovel"].common
+    assert {r.word for r in listings.store_brands(one).filter("parent_asin in ('m1', 'm2')").collect()} == {"makerborbem", "makercorbem"} and listings.store_brands(one).filter("parent_asin = 'm3'").count() == 0
+    types = {r.phrase: r.type for r in listings.type_table(one, listings.marked_words(one, listings.lexicon(one))).collect()}
+    assert types["flash cards"] == "flash cards" and "hot deal" not in types
+
+
+def test_short_brands_and_lines(spark):
+    def row(a, title, maker, store=None, feats=()):
+        return (a, title, store or maker, ["Things", "Hair Dryer"], list(feats), [], f'{{"Manufacturer": "{maker}"}}', 1, "x")
+
+    rows = [row("a", "Bosch Ixo Hair Dryer, 1200 W", "Bosch"), row("b", "hair dryer / Ixo / 1.2 kW", "Bosch", "Bosch Official"), row("c", "Sony Ixe Hair Dryer", "Sony"), row("d", "Sony Alpha hair dryer", "Sony"), row("e", "Hair Dryer by SONY Alpha", "Sony")]
+    g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows + catalogue(), LISTING)).collect()}
+    assert g["a"] == g["b"] and g["d"] == g["e"] and len({g[x] for x in "acd"}) == 3
 
 
 def test_lines_with_a_typing_error_anywhere(spark):
@@ -152,8 +184,8 @@ def test_listings_without_a_type(spark):
     rows = [row(f"a{i}", f"Dunksilora Lorelloflin {t}, 12-pack") for i, t in enumerate(["Flash Cards", "flash cards", "Flash Cards"])]
     rows += [row(f"z{i}", f"Kalntoyore {x} Wireless Controller", "Wireless Controller", "Kalntoyore") for i, x in enumerate(["Marenihemax", "Fenayabach", "Griynnetorp"])]
     rows += [row("w", "wireess controller, Marenihemax", None, "kalntoyore"), row("h", "Flahs Cards Lorelloflin, pack of 12", None), row("n", "Dunksilora Lorellofiln, 12-pack", None), row("o", "Dunksilora Lorelloflin, 6-pack", None)]
-    g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows, LISTING)).collect()}
-    assert len(g) == len(rows) and g["w"] == g["z0"] and g["z0"] != g["z1"]
+    g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows + catalogue(), LISTING)).collect()}
+    assert len(g) == len(rows) + 24 and g["w"] == g["z0"] and g["z0"] != g["z1"]
     assert g["a0"] == g["a1"] == g["a2"] == g["h"] == g["n"] != g["o"]
 
 
@@ -166,7 +198,9 @@ def test_listings_of_rare_type_phrases(spark):
     rows = [row(f"a{i}", "gaming headset, Kaldrajuni Fenayabach", "gaming headset", "Gaming Headset") for i in range(3)]
     rows += [row("r", "headset for gamers, Kaldrajuni Fenayabach", "headset for gamers"), row("s", "lab gloves, Lorelloxin", "lab gloves", "Nitrile Gloves", "Griynneto"), row("t", "Griynneto Lorelloxin", "lab gloves", None, "Griynneto")]
     rows += [row("u", "reading lamp, Dunksilora Marenihemax", "reading lamp", None, "Dunksilora"), row("v", "Dunksilora reading lamp", "reading lamp", None, "Dunksilora"), row("w", "Dunksilora Venovinaro garden hose", "garden hose", None, "Dunksilora")]
-    types = {r.phrase: r.type for r in listings.type_table(spark.createDataFrame(rows, LISTING)).collect()}
+    rows += catalogue()
+    one = listings.prepared(spark.createDataFrame(rows, LISTING))
+    types = {r.phrase: r.type for r in listings.type_table(one, listings.marked_words(one, listings.lexicon(one))).collect()}
     assert types["lab gloves"] == "nitrile gloves" and types["headset for gamers"] is None
     g = {r.parent_asin: r.group_id for r in listings.group_listings(spark.createDataFrame(rows, LISTING)).collect()}
     assert len(g) == len(rows) and g["r"] == g["a0"] == g["a2"] and g["s"] == g["t"] and g["u"] == g["v"] != g["w"]

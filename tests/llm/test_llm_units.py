@@ -210,11 +210,13 @@ def test_norms_come_from_the_table():
 
 
 def test_listing_fields():
-    p = G.parse("Lorenigali Hesammalund piano keyboard rack / 55.1\" / 120g", "Lorenigali", ["0.12 kg", "Tested in 30 workshops"], ["Colour of this piano keyboard rack: sunny yellow."], "{}", ["piano keyboard rack"])
+    p = G.parse("Lorenigali Hesammalund piano keyboard rack / 55.1\" / 120g", ["0.12 kg", "Tested in 30 workshops"], ["Colour of this piano keyboard rack: sunny yellow."], ["lorenigali"], ["piano keyboard rack"], ["piano", "keyboard", "rack"], ["lorenigali"], [])
     assert (p["brand"], p["line"], p["colour"], p["weight"], round(p["length"])) == ("lorenigali", "hesammalund", "yellow", 120.0, 1400)
-    p = G.parse(None, None, None, None, "not json", None)
+    assert G.parse("Bosch Ixo drill", [], [], ["bosch"], [], ["drill"], ["bosch"], [])["line"] == "ixo" and G.parse("Sony Alpha tent", [], [], ["sony"], [], ["tent"], [], [])["line"] == "alpha"
+    p = G.parse(None, None, None, None, None, None, None, None)
     assert p["brand"] is None and p["line"] is None
-    assert G.parse("40 sheets (80 pages), dozen, 1.7 Fl. Oz", None, [], [], None, [])["extent"] == 80.0
+    assert G.parse("40 sheets (80 pages), dozen, 1.7 Fl. Oz", [], [], [], [], [], [], [])["extent"] == 80.0
+    assert [G.errors(a, b) for a, b in (("ixo", "ixe"), ("sony", "sonny"), ("kalntoyore", "kalntoyo"))] == [0, 1, 2]
 
 
 def test_title_and_author_similarity():
