@@ -43,7 +43,7 @@ _END = re.compile(r"[.!?。！？:…][\"'”’)\]*_]*$")
 _TAG = re.compile(r"(?:^|\s)(?:[#+]\w|tag:\w)")
 _PRICE = re.compile(r"\d[\d.,]*\s?(?:USD|EUR|GBP|\$|€|£)|[$€£]\s?\d")
 _CODE = re.compile(r"(?ms)^(?:```|~~~).*?^(?:```|~~~)\s*$")
-_SHORT_WORD = r"(?<![\p{L}'’])(\p{L}{1,%d})(?![\p{L}'’])" % SHORT
+_BETWEEN = r"[^\p{L}'’]+"
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def learn_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     reach the driver.
     """
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit("any")
-    t = docs.filter(F.col(text_col).isNotNull() & lang.isNotNull()).select(lang.alias("lang"), F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(_SHORT_WORD), 1)).alias("w"))
+    t = docs.filter(F.col(text_col).isNotNull() & lang.isNotNull()).select(lang.alias("lang"), F.array_distinct(F.filter(F.split(F.lower(text_col), _BETWEEN), lambda w: (F.length(w) <= SHORT) & w.rlike(r"^\p{L}+$"))).alias("w"))
     n = t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     df = t.select("lang", F.explode("w").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("m"))
     p, z, k = F.col("m") / F.col("n"), CERTAIN, F.col("n")
