@@ -254,10 +254,27 @@ def _grams(w: F.Column, most: int = 5) -> F.Column:
     return F.filter(F.array_distinct(F.flatten(each)), lambda g: g != "")
 
 
-def _common_runs() -> F.Column:
-    """Runs of the title's words that are all ``common``."""
-    w = F.transform(_title_words(), lambda x: F.when(F.array_contains("common", x), x).otherwise("|"))
-    return F.filter(_grams(w), lambda g: ~g.contains("|"))
+_BREAK, _GAP = re.compile(r"[.!?:;]+"), re.compile(r"[\W\d_]+")
+
+
+def shared_runs(words, common, texts, most: int = 5) -> list[str]:
+    """The longest runs of one to ``most`` words of a title, all of them ``common``, that one of the texts has as well."""
+    if words is None or common is None or texts is None or not len(common):
+        return []
+    said = " . ".join(" . ".join(_GAP.sub(" ", s).strip() for s in _BREAK.split(t.lower())) for t in texts)
+    said, plain, words, found = f" {said} ", set(common), list(words), []
+    for i in range(len(words)):
+        j = i
+        while j < len(words) and j - i < most and words[j] in plain and f" {' '.join(words[i : j + 1])} " in said:
+            j += 1
+        if j > i:
+            found.append(" ".join(words[i:j]))
+    return sorted({g for g in found if not any(g != o and f" {g} " in f" {o} " for o in found)})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _shared_runs(words: pd.Series, common: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([shared_runs(*r) for r in zip(words, common, texts, strict=True)], dtype=object)
 
 
 def prepared(items: DataFrame) -> DataFrame:
@@ -339,13 +356,9 @@ def type_table(one: DataFrame, known: DataFrame) -> DataFrame:
     stands for a type if one category has most of its listings; the type of a phrase that never occurs with a category is null. Phrases of colours, materials and
     scents alone are none. As many rows as the catalogue has names for types, whatever the number of listings.
     """
-    j = one.join(known, "parent_asin")
-    t = j.select("parent_asin", "cat", F.explode(_common_runs()).alias("g"), F.concat(F.lit(" "), F.regexp_replace(F.lower(F.array_join("texts", " . ")), r"[^\p{L}.]+", " "), F.lit(" ")).alias("x"))
-    shared = t.filter(F.col("x").contains(F.concat(F.lit(" "), "g", F.lit(" ")))).groupBy("parent_asin", "cat").agg(F.collect_set("g").alias("gs"))  # a few runs of one title
-    inside = lambda a, b: (a != b) & F.concat(F.lit(" "), b, F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" ")))
-    longest = F.filter("gs", lambda g: ~F.exists("gs", lambda o: inside(g, o)))
+    shared = one.join(known, "parent_asin").select("parent_asin", "cat", _shared_runs(_title_words(), "common", "texts").alias("gs"))
     own = one.filter("cat is not null").select("parent_asin", "cat", F.col("cat").alias("phrase"))
-    seen = shared.select("parent_asin", "cat", F.explode(longest).alias("phrase")).unionByName(own).distinct()
+    seen = shared.select("parent_asin", "cat", F.explode("gs").alias("phrase")).unionByName(own).distinct()
     n = seen.groupBy("phrase", "cat").agg(F.count(F.lit(1)).alias("n"))
     per = n.groupBy("phrase").agg(F.sum(F.when(F.col("cat").isNotNull(), F.col("n"))).alias("total"), F.max(F.when(F.col("cat").isNotNull(), F.struct("n", "cat"))).alias("m"))
     qualities = [F.lit(w) for w in sorted({*COLOURS, *MATERIALS, *SCENTS})]
@@ -365,7 +378,8 @@ def profiles(items: DataFrame) -> DataFrame:
     found = g.withColumn("p", F.lit(3)).join(key, "g").drop("g").unionByName(cats)
     # a phrase of the title with one typing error counts where nothing else tells the type, and is no name either
     typed = key.filter(F.length("g") >= TELLING).select(F.explode(one_edit(F.col("g"), " abcdefghijklmnopqrstuvwxyz")).alias("g"), "said", "type", "s").distinct()
-    found = found.unionByName(g.withColumn("p", F.lit(4)).join(typed, "g").select("parent_asin", "p", F.col("g").alias("phrase"), "type", "s", "said"))
+    untold = g.join(one.filter("cat is null").select("parent_asin"), "parent_asin", "left_semi")
+    found = found.unionByName(untold.withColumn("p", F.lit(4)).join(typed, "g").select("parent_asin", "p", F.col("g").alias("phrase"), "type", "s", "said"))
     # the category is the surest, then the surest phrase of the title, of several the longest
     rank = F.struct("p", -F.col("s"), -F.length("phrase"), "phrase", "said")
     best = found.groupBy("parent_asin").agg(F.min_by("type", F.when(F.col("type").isNotNull(), rank)).alias("type"), F.min_by("said", F.when(F.col("type").isNull(), rank)).alias("said"), F.collect_set("phrase").alias("phrases"))
@@ -484,15 +498,18 @@ def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
 
 
 def _pairs(first: np.ndarray, size: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs within runs, in pieces of at most about ``most`` pairs; a run's pairs come in one piece unless it has more."""
+    """Row numbers of all pairs within runs, in pieces of about ``most`` pairs, or of one row's pairs where that is more."""
     for k in np.unique(size[size > 1]):
-        own = first[size == k]
-        i, j = np.triu_indices(int(k), 1)
-        if len(i) > most:
+        own, k = first[size == k], int(k)
+        if k * (k - 1) // 2 > most:
+            step = max(1, most // k)
             for f in own:
-                for lo in range(0, len(i), most):
-                    yield f + i[lo : lo + most], f + j[lo : lo + most]
+                for lo in range(0, k - 1, step):
+                    rows = np.arange(lo, min(lo + step, k - 1))
+                    i = np.repeat(rows, k - 1 - rows)
+                    yield f + i, f + np.concatenate([np.arange(r + 1, k) for r in rows])
         else:
+            i, j = np.triu_indices(k, 1)
             step = max(1, most // len(i))
             for lo in range(0, len(own), step):
                 part = own[lo : lo + step, None]
@@ -549,28 +566,37 @@ def fit_weights(profiles_by_line: DataFrame, rounds: int = 10) -> dict:
 
 
 def cluster_blocks(g: pd.DataFrame, first: np.ndarray, size: np.ndarray, model: dict) -> np.ndarray:
-    """Cluster number per profile: strongest links of a block first, never against a stated attribute of any member of the other side."""
+    """Cluster number per profile: strongest links of a block first, never against a stated attribute of any member of the other side.
+
+    What the members of a cluster state is kept with it: one value of each text field, the least and the largest of each number. Of two clusters
+    the largest of one and the least of the other are the furthest apart, so they tell of any contradiction, and nothing is kept per pair.
+    """
     codes, numbers = _arrays(g)
     copies = g["copies"].to_numpy()
     label = np.arange(len(g))
     base, w = np.log(model["share"]) - np.log1p(-model["share"]), weights(model)
-    links, clashes = [], []
+    links = []
     for i, j in _pairs(first, size):
         lv = _levels(codes, numbers, i, j)
-        bad = (lv == 0).any(1)
         score = base + w[np.arange(len(_ORDER)), lv].sum(1)
-        ok = ~bad & (score > np.log(LINK / (1 - LINK)))
+        ok = ~(lv == 0).any(1) & (score > np.log(LINK / (1 - LINK)))
         links.append(np.stack([score, (lv == 2).sum(1), copies[i] + copies[j], i, j], 1)[ok])
-        clashes.append(np.stack([i, j], 1)[bad])
     if not links:
         return label
-    edges, clash = np.concatenate(links), np.concatenate(clashes)
-    apart = set((clash[:, 0] * len(g) + clash[:, 1]).tolist())  # first row number is the smaller one
+    edges = np.concatenate(links)
     members = {c: [c] for c in range(len(g))}
+    text, low, high = codes.copy(), numbers.copy(), numbers.copy()
+    room = np.full(len(NUMBERS), ROUNDING)
+    room[_EXACT] = 0.0
     for e in np.lexsort((edges[:, 4], edges[:, 3], -edges[:, 2], -edges[:, 1], -edges[:, 0])):
         a, b = label[int(edges[e, 3])], label[int(edges[e, 4])]
-        if a == b or any((min(x, y) * len(g) + max(x, y)) in apart for x in members[a] for y in members[b]):
+        if a == b or ((text[a] >= 0) & (text[b] >= 0) & (text[a] != text[b])).any():
+            continue
+        top, least = np.fmax(high[a], high[b]), np.fmin(low[a], low[b])
+        both = ~np.isnan(high[a]) & ~np.isnan(high[b])
+        if (both & (top - least > room * top + 1e-9)).any():
             continue
+        text[a], low[a], high[a] = np.where(text[a] >= 0, text[a], text[b]), least, top
         members[a] += members.pop(b)
         label[members[a]] = a
     return label

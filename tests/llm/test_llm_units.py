@@ -216,6 +216,7 @@ def test_listing_fields():
     p = G.parse(None, None, None, None, None, None, None, None)
     assert p["brand"] is None and p["line"] is None
     assert G.parse("40 sheets (80 pages), dozen, 1.7 Fl. Oz", [], [], [], [], [], [], [])["extent"] == 80.0
+    assert G.shared_runs(["cheap", "music", "stand", "ixo"], ["cheap", "music", "stand"], ["Every music stand. Stand by", "cheap"]) == ["cheap", "music stand"] and G.shared_runs(None, None, None) == []
     assert [G.errors(a, b) for a, b in (("ixo", "ixe"), ("sony", "sonny"), ("kalntoyore", "kalntoyo"))] == [0, 1, 2]
 
 
@@ -251,3 +252,24 @@ def test_unknown_authors_in_the_mixture():
     y[:, W._AUTHOR] = W.UNKNOWN
     z, rest = W.expected(y, mean, cov)
     assert abs(np.mean((z - x)[:, W._AUTHOR])) < 0.1 and abs(np.var((z - x)[:, W._AUTHOR]) / rest - 1) < 0.1
+
+
+def test_clusters_never_contradict():
+    """The summaries of clusters refuse exactly what a comparison of all members refuses, and large runs come in pieces."""
+    import pandas as pd
+
+    rng = random.Random(3)
+    for _ in range(20):
+        n = 40
+        g = pd.DataFrame({f: [rng.choice([None, "a", "b"]) if f == "colour" else "same" for _ in range(n)] for f in G.STRINGS})
+        for f in G.NUMBERS:
+            g[f] = [rng.choice([np.nan, 100.0, 102.0, 104.5, 120.0]) if f in ("length", "pieces") else np.nan for _ in range(n)]
+        g["copies"] = 1
+        n_f = len(G._ORDER)
+        label = G.cluster_blocks(g, np.array([0]), np.array([n]), {"share": 0.5, "m": np.tile([0.05, 1.0, 0.95], (n_f, 1)), "u": np.tile([0.6, 1.0, 0.4], (n_f, 1))})
+        codes, numbers = G._arrays(g)
+        i, j = np.triu_indices(n, 1)
+        bad = (G._levels(codes, numbers, i, j) == 0).any(1)
+        assert not (bad & (label[i] == label[j])).any() and len(set(label)) < n
+    pairs = [(int(x), int(y)) for i, j in G._pairs(np.array([0, 5]), np.array([5, 60]), 100) for x, y in zip(i, j, strict=True)]
+    assert len(pairs) == len(set(pairs)) == 10 + 1770 and all(x < y for x, y in pairs)
