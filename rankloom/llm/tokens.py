@@ -116,6 +116,8 @@ class PrefixEncoder:
                 last[end], back[end] = r, start
         out, at = [], n
         while at:
+            if last[at] == -1:
+                raise ValueError("the vocabulary lacks the bytes of this text")
             out.append(last[at])
             at = back[at]
         return np.array(out[::-1], dtype=np.int32)
