@@ -190,6 +190,22 @@ def popularity(df: DataFrame, k: int, item: str = I, group: Sequence[str] = G) -
     return df.groupBy(*group, item).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def item_neighbors(df: DataFrame, queries: DataFrame, k: int, user: str = U, item: str = I) -> DataFrame:
+    """The ``k`` items whose users are most like a query item's, by cosine of the sets of users: (query_item, item, score, rank), ties by item.
+
+    ``queries`` has a column ``query_item``: a stated set of items against all items. Repeated pairs of user and item count once, rows without either not at
+    all; items that share no user with a query don't come out. Only co-occurrences with query items are counted, aggregated before the shuffle.
+    """
+    pairs = df.select(F.col(user).alias("_u"), F.col(item).alias("_i")).filter("_u is not null and _i is not null").distinct()
+    size = pairs.groupBy("_i").agg(F.count(F.lit(1)).alias("n"))
+    asked = pairs.join(queries.select(F.col("query_item").alias("_i")).distinct(), "_i", "left_semi").select("_u", F.col("_i").alias("query_item"))
+    both = asked.join(pairs, "_u").filter("query_item <> _i").groupBy("query_item", "_i").agg(F.count(F.lit(1)).alias("both"))
+    scored = both.join(size.select(F.col("_i").alias("query_item"), F.col("n").alias("nq")), "query_item").join(size, "_i")
+    scored = scored.select("query_item", F.col("_i").alias(item), (F.col("both") / F.sqrt(F.col("nq") * F.col("n"))).alias("score"))
+    w = Window.partitionBy("query_item").orderBy(F.round("score", 9).desc(), F.col(item))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def ranking_metrics(df: DataFrame, rank: str = "rank0", ks: Sequence[int] = (5, 10), by: Sequence[str] = ()) -> DataFrame:
     """Mean recall, NDCG and MRR at each k for one relevant item per row; ``rank`` counts from 0, negative or null is a miss."""
     r = F.col(rank)

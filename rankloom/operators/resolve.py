@@ -69,8 +69,10 @@ def fuzzy_fill(missing: DataFrame, index: DataFrame, used: DataFrame, threshold:
 
     ``used`` holds identifiers that are already linked. A paper's best candidate is fixed before looking at ``used``.
     """
-    c = fuzzy_candidates(missing, index, paper_key=paper_key).withColumn("ratio", X.sequence_ratio("cnt", "nt"))
-    c = c.filter((F.col("ratio") >= threshold) & X.same_first_author("fa", "iauth"))
+    c = fuzzy_candidates(missing, index, paper_key=paper_key).filter(X.same_first_author("fa", "iauth"))
+    # the ratio can't exceed twice the shorter length over both, which spares most pairs the comparison in Python
+    a, b = F.length("cnt"), F.length("nt")
+    c = c.filter(2 * F.least(a, b) / (a + b) >= threshold).withColumn("ratio", X.sequence_ratio("cnt", "nt")).filter(F.col("ratio") >= threshold)
     best = c.groupBy(paper_key).agg(F.max_by(F.struct("arxiv_id", "ratio"), F.struct("ratio", F.col("arxiv_id"))).alias("b")).select(paper_key, "b.arxiv_id", "b.ratio")
     free = best.join(used.select("arxiv_id").distinct(), "arxiv_id", "left_anti")
     return free.withColumn("rn", F.row_number().over(Window.partitionBy("arxiv_id").orderBy(paper_key))).filter("rn = 1").drop("rn")

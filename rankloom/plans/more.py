@@ -164,6 +164,16 @@ def best_runs(spark, d):
     return M.best_run(m, "title_sim", ["venue"]).select("venue", "title_sim", "run")
 
 
+@query("""WITH p AS (SELECT DISTINCT user_id AS u, parent_asin AS i FROM interaction WHERE user_id IS NOT NULL AND parent_asin IS NOT NULL), n AS (SELECT i, count(*) AS n FROM p GROUP BY 1), q AS (SELECT i FROM (SELECT i, row_number() OVER (ORDER BY i) - 1 AS k FROM n) WHERE k % 20 = 0),
+b AS (SELECT x.i AS query_item, y.i AS parent_asin, count(*) AS b FROM p x JOIN q ON q.i = x.i JOIN p y ON x.u = y.u AND x.i <> y.i GROUP BY 1, 2), s AS (SELECT query_item, parent_asin, b.b / sqrt(nq.n * ni.n) AS score FROM b JOIN n nq ON nq.i = query_item JOIN n ni ON ni.i = parent_asin)
+SELECT query_item, parent_asin, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_item ORDER BY round(score, 9) DESC, parent_asin) AS rank FROM s) WHERE rank <= 10""")
+def item_knn(spark, d):
+    """The ten nearest items of every twentieth item (in key order) by shared users, against all items."""
+    t = table(spark, d, "interaction")
+    ids = M.dense_index(t.filter("user_id is not null"), "parent_asin").filter("item_idx % 20 = 0")
+    return N.item_neighbors(t, ids.select(F.col("parent_asin").alias("query_item")), 10).withColumn("score", F.round("score", 6))
+
+
 _DIMS = 4
 
 

@@ -211,3 +211,19 @@ def test_runs_and_lists(spark):
     tgt = spark.createDataFrame([(1, "b"), (2, "b"), (3, None)], "query_id int, target string")
     r = M.evaluate_generated(gen, tgt).first()
     assert (r.recall_5, r.mrr_5) == (0.5, 0.25)
+
+
+def test_item_neighbors_against_plain_python(spark):
+    rng = random.Random(6)
+    rows = [("c", rng.choice("uvwxyz"), f"i{rng.randrange(9)}", 1, 1.0) for _ in range(60)] + [("c", None, "i1", 1, 1.0), ("c", "u", None, 1, 1.0)]
+    users = defaultdict(set)
+    for _, u, i, _, _ in rows:
+        if u and i:
+            users[i].add(u)
+    q = spark.createDataFrame([("i1",), ("i2",), ("i1",), ("none",)], "query_item string")
+    got = {(r.query_item, r["rank"]): (r.parent_asin, round(r.score, 9)) for r in N.item_neighbors(inter(spark, rows), q, 3).collect()}
+    want = {}
+    for a in ("i1", "i2"):
+        s = sorted((-round(len(users[a] & users[b]) / (len(users[a]) * len(users[b])) ** 0.5, 9), b) for b in users if b != a and users[a] & users[b])
+        want |= {(a, k + 1): (b, -x) for k, (x, b) in enumerate(s[:3])}
+    assert got == want and N.item_neighbors(inter(spark, []), q, 3).count() == 0
