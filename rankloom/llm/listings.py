@@ -11,6 +11,7 @@ takes in a listing that contradicts one of its stated attributes.
 from __future__ import annotations
 
 import html
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ ROUNDING = 0.035
 SPELLING = 2
 #: Letters from which a type phrase can be told with one typing error.
 TELLING = 5
+#: Change of the shares below which the weights count as settled.
+STILL = 1e-3
 #: Posterior from which a pair is a link.
 LINK = 0.5
 
@@ -528,7 +531,7 @@ def posterior(levels: np.ndarray, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(lo, -50, 50)))
 
 
-def fit_weights(profiles_by_line: DataFrame, rounds: int = 10) -> dict:
+def fit_weights(profiles_by_line: DataFrame, rounds: int = 40) -> dict:
     """Shares of agreement among matches and others, field by field, by expectation-maximisation over all pairs of a block.
 
     The blocks (type and line) stand together in sorted partitions; their pairs are compared in place and never shuffled.
@@ -558,10 +561,11 @@ def fit_weights(profiles_by_line: DataFrame, rounds: int = 10) -> dict:
             x = x.T + [0.5, 0.0, 0.5]  # a level that never occurred isn't impossible
             x[:, 1] = x[:, 0] + x[:, 2]  # shares are taken of the pairs in which both sides speak
             new[name] = x / x[:, 1:2]
-        done = np.abs(new["m"] - model["m"]).max() < 1e-3
+        moved = np.abs(new["m"] - model["m"]).max()
         model = new
-        if done:
-            break
+        if moved < STILL:
+            return model
+    logging.getLogger(__name__).warning("the weights still moved by %.2g after %d rounds", moved, rounds)
     return model
 
 
