@@ -165,10 +165,12 @@ def resumption_token(body: str) -> str | None:
 def anthology_volumes(spark: SparkSession, path: str, volumes: tuple[str, ...] = ("long", "short")) -> DataFrame:
     """Papers of the main volumes; text inside inline markup is kept, the tags go."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<volume\b.*?</volume>)"), 1)).alias("v"))
-    rows = rows.select(F.regexp_extract("v", r'<volume\b[^>]*\bid="([^"]*)"', 1).alias("volume"), F.explode(F.regexp_extract_all("v", F.lit(r"(?s)(<paper\b.*?</paper>)"), 1)).alias("p"))
+    # the volume's name is taken before its papers are, so that no paper's row carries the text of the volume
+    rows = rows.select(F.regexp_extract("v", r'<volume\b[^>]*\bid="([^"]*)"', 1).alias("volume"), "v").filter(F.col("volume").isin(*volumes))
+    rows = rows.select("volume", F.explode(F.regexp_extract_all("v", F.lit(r"(?s)(<paper\b.*?</paper>)"), 1)).alias("p"))
     text = lambda tag: X.strip(F.regexp_replace(F.coalesce(F.expr(f"xpath_string(p, 'paper/{tag}')"), F.lit("")), r"(?U)\s+", " "))
     names = F.expr("zip_with(xpath(p, 'paper/author/first/text()'), xpath(p, 'paper/author/last/text()'), (f, l) -> trim(concat_ws(' ', f, l)))")
-    return rows.filter(F.col("volume").isin(*volumes)).select("volume", text("title").alias("title"), F.array_join(names, ", ").alias("authors"), text("abstract").alias("abstract"), text("url").alias("url"))
+    return rows.select("volume", text("title").alias("title"), F.array_join(names, ", ").alias("authors"), text("abstract").alias("abstract"), text("url").alias("url"))
 
 
 def one_or_many(raw: str, record: T.DataType):

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,17 @@ def test_markdown_and_xml(spark, tmp_path):
     assert R.resumption_token("<resumptionToken cursor='1'>abc</resumptionToken>") == "abc" and R.resumption_token("<resumptionToken/>") is None
 
 
+def test_papers_do_not_carry_the_text_of_their_volume(spark, tmp_path):
+    """Rows that hold the volume beside each of its papers grow with the square of a file."""
+    paper = lambda i: f'<paper id="{i}"><title>t{i}</title><author><first>A</first><last>B{i}</last></author></paper>'
+    many = lambda name, of: f'<volume ingest="x" id="{name}">{"".join(paper(i) for i in of)}</volume>'
+    (tmp_path / "v.xml").write_text(f"<collection>{many('long', range(300))}{many('demo', range(5))}{many('short', range(300, 400))}</collection>")
+    got = R.anthology_volumes(spark, str(tmp_path / "v.xml"))
+    assert sorted((r.volume, r.title, r.authors) for r in got.collect()) == sorted(("long" if i < 300 else "short", f"t{i}", f"A B{i}") for i in range(400))
+    above_papers = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(")[0]
+    assert not re.search(r"\bv#\d+", above_papers)
+
+
 def test_writers_and_streams(spark, tmp_path):
     df = spark.createDataFrame([("c", "train", 1), ("c", "test", 2)], "category string, split string, x int")
     W.write_splits(df, str(tmp_path / "s"))
