@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import logging
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from rankloom.llm import chars as C
 from rankloom.llm import linkage as L
 from rankloom.llm import names as N
-from rankloom.session import cut
+from rankloom.session import cut, cut_counted
 
 FEATURES = ["held", "cover", "author", "date", "log"]
 #: Added to the variances; the share of candidates that match at the start.
@@ -33,7 +34,7 @@ LOG_WEIGHT, NO_LOG = 0.3, 0.7
 JACCARD = 0.55
 #: Change of the means below which the mixture counts as settled.
 STILL = 1e-4
-#: Pairs of one title (up to a word) beyond which the surname is part of the block.
+#: Pairs of one join key beyond which they are made by several tasks.
 HOT = 100_000
 
 # Spelling variants and short forms in titles.
@@ -207,11 +208,30 @@ def _author_keys(df: DataFrame, spell: DataFrame, own: str, entry: bool) -> Data
     return k.select(own, F.explode(keys).alias("key")).distinct()
 
 
+def spread_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The inner join on ``key``, whole, whatever the number of pairs under one key.
+
+    Where a key has more than ``HOT`` pairs the rows of both sides are parted into pieces, and each piece of one side meets each of the other as a key of its own,
+    so no task makes more than about ``HOT`` pairs of it at a time. ``a`` and ``b`` are read twice.
+    """
+    count = lambda df, n: df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    piece = max(1, math.isqrt(HOT))
+    pieces = lambda n: F.ceil(F.col(n) / piece).cast("int")
+    hot, any_ = cut_counted(count(a, "_n").join(count(b, "_m"), key).filter(F.col("_n") * F.col("_m") > HOT).select(key, pieces("_n").alias("_n"), pieces("_m").alias("_m")))
+    if not any_:
+        return a.join(b, key)
+    own = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = a.join(hot, key).withColumn("_i", own(a, "_n")).withColumn("_j", every("_m")).drop("_n", "_m")
+    y = b.join(hot, key).withColumn("_j", own(b, "_m")).withColumn("_i", every("_n")).drop("_n", "_m")
+    return a.join(hot, key, "left_anti").join(b, key).unionByName(x.join(y, [key, "_i", "_j"]).drop("_i", "_j"))
+
+
 def candidates(papers: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs (pid, eid) of distinct paper forms and entry forms that share a block. ``papers``: pid, tk, who; ``entries``: eid, tk, who.
 
     A block is a surname with one rare title word (of the prefix that a Jaccard similarity of ``JACCARD`` can't miss), or a whole
-    title up to one word, whatever the author (or by the same surname, where more than ``HOT`` pairs share the title).
+    title up to one word, whatever the author and the number of records that share it.
     """
     p, e = papers.withColumn("w", F.array_distinct(F.split("tk", " "))), entries.withColumn("w", F.array_distinct(F.split("tk", " ")))
     freq = p.select(F.explode("w").alias("word")).unionByName(e.select(F.explode("w").alias("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("f"))
@@ -219,16 +239,14 @@ def candidates(papers: DataFrame, entries: DataFrame) -> DataFrame:
     pk, ek = cut(_author_keys(p, spell, "pid", False)), cut(_author_keys(e, spell, "eid", True))
     side = lambda df, own, keys: L.rare_prefix(df, [own], "w", freq, JACCARD, 1).join(keys, own).select(own, "key", F.explode("rare").alias("word"))
     a = side(p, "pid", pk).join(side(e, "eid", ek), ["key", "word"]).select("pid", "eid")
-    h = lambda df, own: df.select(own, (F.size("who") == 0).alias(f"{own}_bare"), F.explode(L.without_one(F.split("tk", " "))).alias("h"))
-    hp, he = cut(h(p, "pid")), cut(h(e, "eid"))
-    count = lambda df, n: df.groupBy("h").agg(F.count(F.lit(1)).alias(n))
-    hot = cut(count(hp, "n").join(count(he, "m"), "h").filter(F.col("n") * F.col("m") > HOT).select("h"))
-    b = hp.join(hot, "h", "left_anti").join(he, "h").select("pid", "eid")
-    # a title that very many records share says nothing against an author who differs: there the surname is asked for, where both sides have one
-    hp, he = hp.join(hot, "h", "left_semi"), he.join(hot, "h", "left_semi")
-    c = hp.filter("not pid_bare").join(pk, "pid").join(he.filter("not eid_bare").join(ek, "eid"), ["h", "key"]).select("pid", "eid")
-    d = hp.join(he, "h").filter("pid_bare or eid_bare").select("pid", "eid")
-    return a.unionByName(b).unionByName(c).unionByName(d).distinct()
+    # titles are compared once, however many records have them; then each record of the one title meets each of the other
+    titles = lambda df, own, t: cut(df.select(own, F.xxhash64("tk").alias(t), "tk"))
+    pt, et = titles(p, "pid", "pt"), titles(e, "eid", "et")
+    h = lambda df, t: cut(df.select(t, "tk").distinct().select(t, F.explode(L.without_one(F.split("tk", " "))).alias("h")))
+    same = cut(spread_join(h(pt, "pt"), h(et, "et"), "h").select("pt", "et").distinct())
+    own = cut(spread_join(pt.select("pid", "pt"), same, "pt").select("pid", "et"))
+    b = spread_join(own, et.select("eid", "et"), "et").select("pid", "eid")
+    return a.unionByName(b).distinct()
 
 
 def _years(arxiv_id: str) -> F.Column:

@@ -252,6 +252,23 @@ def test_short_surnames_and_shared_titles(spark):
         assert {r.arxiv_id for r in got if r.paper_key == "bare"} == {ents[1][0], "2401.99999"}
 
 
+def test_titles_of_very_many_pairs_lose_no_candidate(spark):
+    """Where pairs are made by several tasks, two known authors need nothing in common, as anywhere else."""
+    who = "array<struct<word:string,initial:string>>"
+    title = "graph ranking for cold sessions"
+    near, far = title.replace("cold", "warm"), "a fair bandit of music travel"
+    p = [(i, title if i % 3 else near, [(f"aabbc{chr(97 + i)}dq", "a")] if i % 5 else []) for i in range(12)] + [(100, far, [("otherman", "o")])]
+    e = [(i, near if i % 4 == 0 else title, [(f"zzyyx{chr(97 + i)}wv", "z")] if i % 7 else []) for i in range(9)] + [(200, far.replace("fair ", ""), [("elsewise", "e")])]
+    p, e = spark.createDataFrame(p, f"pid long, tk string, who {who}"), spark.createDataFrame(e, f"eid long, tk string, who {who}")
+    for hot in (works.HOT, 4, 0):
+        works.HOT, was = hot, works.HOT
+        try:
+            got = [tuple(r) for r in works.candidates(p, e).collect()]
+        finally:
+            works.HOT = was
+        assert sorted(got) == [(i, j) for i in range(12) for j in range(9)] + [(100, 200)]
+
+
 def test_names_of_two_letters(spark):
     refs = spark.createDataFrame([(1, "Wei Li", "person"), (2, "Ann Wu", "person")], "author_id long, full_name string, kind string")
     p = spark.createDataFrame([("a", "Li, Wei; W. Li; Ann Wu; Wu A.; Wei Wu")], "arxiv_id string, authors string")
