@@ -142,6 +142,15 @@ def test_listings(spark):
     assert alone == {"d", "e", "f"}
 
 
+def test_no_step_of_the_listings_is_planned_as_a_large_tree(spark, monkeypatch):
+    """The driver plans a step's tree anew after each of its exchanges and keeps every version."""
+    widest, cut = [], listings.cut
+    monkeypatch.setattr(listings, "cut", lambda df: widest.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")) or cut(df))
+    out = listings.same_pairs(listings.group_listings(spark.createDataFrame(catalogue(), LISTING)))
+    widest.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+    assert max(widest) <= 20, widest
+
+
 def test_what_a_catalogue_teaches(spark):
     """Names, common words, store forms and types are learnt; nothing depends on how the texts are worded."""
     one = listings.prepared(spark.createDataFrame(catalogue() + [("t", "Cheap Hto Puzzle Book", None, None, None, None, None, 1, "x")], LISTING))
